@@ -5,8 +5,8 @@
    ``max_repeats`` times its own size; what is cut off goes to the others by weight.
 3. Seats: the budget is cut into blocks of ``block_tokens``; sources get blocks by the highest
    quotients target/(2k+1), and each source's blocks go to its shards by the same rule.
-4. Rows lie in a shard in seeded order. A quota of q blocks over a shard of n takes every block
-   q // n times and the first q % n blocks of the seeded order once more.
+4. Rows lie in a shard in seeded order. A quota of blocks takes the whole shard as often as it fits, and the
+   blocks at the start of the seeded order once more.
 
 A source may hold any part of the rows: its rows are dealt to as many shards as it needs, so no window
 runs over more than about ``shard_rows`` rows.
@@ -124,9 +124,9 @@ def mix_sources(
     rows = dealt(counted(F.struct(*[F.col(c) for c in keep]).alias("kept")) if keep else counts).withColumn("_key", null_safe)
     in_order = Window.partitionBy("_key", "_shard").orderBy(F.xxhash64(F.lit(seed), F.col("_id")), "_id", "size")
     rows = rows.withColumn("_end", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    blocks = F.greatest(F.ceil(F.col("_shard_size") / block_tokens), F.lit(1)).cast("long")
-    passes = F.least(F.floor(F.col("_quota") / blocks), F.lit(max_repeats)).cast("long")
-    once_more = F.when(F.col("_passes") < max_repeats, (F.col("_quota") - F.col("_passes") * blocks) * block_tokens).otherwise(0)
+    wanted = F.least(F.col("_quota") * block_tokens, F.col("_shard_size") * max_repeats)
+    passes = F.when(F.col("_shard_size") > 0, F.floor(wanted / F.greatest("_shard_size", F.lit(1)))).otherwise(0).cast("long")
+    once_more = wanted - F.col("_passes") * F.col("_shard_size")
     inside = F.greatest(F.least(once_more, F.col("_end")) - (F.col("_end") - F.col("size")), F.lit(0))
     if whole_rows:
         inside = F.when(2 * inside > F.col("size"), F.col("size")).otherwise(0)

@@ -126,8 +126,8 @@ def fit_centroids(
     w = Window.partitionBy("lang", F.pmod("o", F.lit(64))).orderBy("o", "id")
     rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang)
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))).where(F.col("r") <= per_lang)
-    chosen = cut(rows.orderBy("r", "lang", "o").limit(max_rows).select("id", F.col("lang").alias("_lang")).dropDuplicates(["id"]))
-    sample = labelled.where(F.col(lang_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("id"), "left_semi").select(F.col(lang_col), F.col(text_col), F.col(id_col).cast("string"))
+    chosen = cut(rows.orderBy("r", "lang", "o").limit(max_rows).select(F.col("id").alias("_chosen")).distinct())
+    sample = labelled.where(F.col(lang_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi").select(F.col(lang_col), F.col(text_col), F.col(id_col).cast("string"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
