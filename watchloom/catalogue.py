@@ -297,8 +297,8 @@ def motion_summary(spark, d):
     return O.motion_summary(_motion(spark, d).withColumn("regions", F.col("votes"))).select("stream_id", "frames", "motion_frames", r6("motion_pct"), r6("avg_regions"))
 
 
-@query(f"""WITH RECURSIVE {FRAMES}, bg AS (SELECT stream_id, frame_index, energy AS bg, 0.0 AS diff FROM frames WHERE frame_index = 0
- UNION ALL SELECT f.stream_id, f.frame_index, (1 - 0.05) * bg.bg + 0.05 * f.energy, abs(f.energy - ((1 - 0.05) * bg.bg + 0.05 * f.energy)) FROM bg JOIN frames f ON f.stream_id = bg.stream_id AND f.frame_index = bg.frame_index + 1)
+@query(f"""WITH RECURSIVE {FRAMES}, bg AS (SELECT stream_id, frame_index, energy AS bg, CAST(0 AS DOUBLE) AS diff FROM frames WHERE frame_index = 0
+ UNION ALL SELECT f.stream_id, f.frame_index, CAST(0.95 AS DOUBLE) * bg.bg + CAST(0.05 AS DOUBLE) * f.energy, abs(f.energy - (CAST(0.95 AS DOUBLE) * bg.bg + CAST(0.05 AS DOUBLE) * f.energy)) FROM bg JOIN frames f ON f.stream_id = bg.stream_id AND f.frame_index = bg.frame_index + 1)
  SELECT stream_id, frame_index, round(bg, 6) AS bg, round(diff, 6) AS diff FROM bg""")
 def running_avg_bg(spark, d):
     return O.running_background(frames(spark, d), "energy", 0.05).select("stream_id", "frame_index", r6("bg"), r6("diff"))
@@ -453,7 +453,7 @@ def nn_threshold(spark, d):
 @query()
 def nn_approximate(spark, d):
     rows = site_rows(spark, d)
-    return R.approximate_nearest(rows.where("id % 10 = 0"), rows, threshold=0.9)
+    return R.approximate_nearest(rows.where("id % 10 = 0"), rows, threshold=1.2, bucket=1.0)
 
 
 @query(f"WITH {SITE} SELECT site_id, name, count(*) AS n, min_by(notes, id) AS notes FROM site GROUP BY site_id, name ORDER BY site_id, name")
@@ -521,7 +521,7 @@ def registry_delete(spark, d):
 @query(f"WITH {SITE} SELECT count(*) AS n, count(DISTINCT person_id) AS persons, count(*) FILTER (name = '') AS untagged FROM site WHERE site_id = 2")
 def site_counts(spark, d):
     a = R.in_site(site_rows(spark, d), 2)
-    return a.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("person_id").alias("persons"), F.count_if("name = ''").alias("untagged"))
+    return a.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("person_id").alias("persons"), F.count_if(F.col("name") == "").alias("untagged"))
 
 
 @query(f"WITH {SITE} SELECT id FROM site WHERE CAST(id AS VARCHAR) LIKE '12%' ORDER BY CAST(id AS VARCHAR) LIMIT 1")

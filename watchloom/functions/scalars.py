@@ -87,12 +87,27 @@ def inference_size(width: Column, height: Column, scale: float, longest: int | N
     return F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"))
 
 
+def three_digits(x: Column) -> Column:
+    """A number from 0 as text with three digits after the point, rounded by its exact binary value, ties to even.
+
+    x * 1000 is split into the nearest double and what that one misses, so a decimal tie that x isn't exactly is none.
+    """
+    p = x * 1000.0
+    head = x * 134217729.0 - (x * 134217729.0 - x)
+    missed = (head * 1000.0 - p) + (x - head) * 1000.0
+    whole = F.floor(p).cast("long")
+    part = p - whole
+    up = (part > 0.5) | ((part == 0.5) & ((missed > 0) | ((missed == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("int")
+    return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
 def change_detail(prev_label: Column, label: Column, delta: Column, conf_delta: float, label_changed: Column) -> Column:
     """Why a frame triggered: the label's change, the confidence's, or both; null if neither."""
     parts = F.concat_ws(
         "; ",
         F.when(label_changed, F.concat(F.lit("label "), prev_label, F.lit("->"), label)),
-        F.when(delta > conf_delta, F.format_string("conf Δ=%.3f", delta)),
+        F.when(delta > conf_delta, F.concat(F.lit("conf Δ="), three_digits(delta))),
     )
     return F.when(parts != "", parts)
 
