@@ -299,9 +299,9 @@ def motion_summary(spark, d):
 
 @query(f"""WITH RECURSIVE {FRAMES}, bg AS (SELECT stream_id, frame_index, energy AS bg, CAST(0 AS DOUBLE) AS diff FROM frames WHERE frame_index = 0
  UNION ALL SELECT f.stream_id, f.frame_index, CAST(0.95 AS DOUBLE) * bg.bg + CAST(0.05 AS DOUBLE) * f.energy, abs(f.energy - (CAST(0.95 AS DOUBLE) * bg.bg + CAST(0.05 AS DOUBLE) * f.energy)) FROM bg JOIN frames f ON f.stream_id = bg.stream_id AND f.frame_index = bg.frame_index + 1)
- SELECT stream_id, frame_index, round(bg, 6) AS bg, round(diff, 6) AS diff FROM bg""")
+ SELECT stream_id, frame_index, bg, diff FROM bg""")
 def running_avg_bg(spark, d):
-    return O.running_background(frames(spark, d), "energy", 0.05).select("stream_id", "frame_index", r6("bg"), r6("diff"))
+    return O.running_background(frames(spark, d), "energy", 0.05)
 
 
 @query(f"WITH {FRAMES}, x AS (SELECT stream_id, abs(energy - lag(energy) OVER (PARTITION BY stream_id ORDER BY frame_index)) AS dd FROM frames WHERE frame_index < 30) SELECT stream_id, round(quantile_cont(dd, 0.9), 6) AS p90, CAST(greatest(10, trunc(quantile_cont(dd, 0.9) * 1.5)) AS INTEGER) AS pixel_threshold FROM x WHERE dd IS NOT NULL GROUP BY stream_id")
