@@ -1,7 +1,84 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Not here: pseudonyms (keyed hash), language ID and quality scores (Spark's hashes), packing (token ids), the source mix
+(seeded order by Spark's hash). Their tests hold them against brute-force versions, round trips and held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from watchloom.llm import license_rules as L
+from watchloom.llm import url_equivalence as U
+from watchloom.llm.queries import URL_RULES
+
+GAP = r"[\x20\x09-\x0D]+"
+LOWER = f"'{U.UPPER}', '{U.LOWER}'"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _licenses() -> str:
+    known = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in L._known(L.SENTENCES).items())
+    steps, found = [], []
+    for k, (name, ids) in enumerate(L.RULES):
+        seq = ",".join(f",{i}," for i in ids).replace(",,,", ",,")
+        steps.append(f"contains(s{k}, '{seq}') AS h{k}, replace(s{k}, '{seq}', ',|,') AS s{k + 1}")
+        before = "".join(f" AND NOT h{j}" for j in range(k) if L.RULES[j][0] == name)
+        found.append(f"CASE WHEN h{k}{before} THEN '{name}' END")
+    return f"""WITH known(sentence, ident) AS (VALUES {known}),
+    cuts AS (SELECT doc_id, row_number() OVER () AS d, string_split_regex(regexp_replace(text, '\\n[\\x20\\x09*#/]*([a-z])', ' \\1', 'g'), '\\n|[.!?;][\\x20\\x09-\\x0D]+') AS c FROM documents),
+    one AS (SELECT d, unnest(c) AS s, unnest(range(len(c))) AS i FROM cuts),
+    ids AS (SELECT d, string_agg(ident, ',' ORDER BY i) AS sentence_ids FROM one JOIN known ON known.sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY d),
+    base AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, ',' || replace(coalesce(sentence_ids, ''), ',', ',,') || ',' AS s0 FROM cuts LEFT JOIN ids USING (d)),
+    told AS (SELECT doc_id, sentence_ids, {", ".join(steps)} FROM base)
+    SELECT doc_id, concat_ws(',', {", ".join(found)}) AS licenses, sentence_ids, array_to_string(list_filter(string_split(s{len(L.RULES)}, ','), lambda x: x <> '' AND x <> '|'), ',') AS leftover FROM told"""
+
+
+ESCAPE = r"'([<\[])(~*)(/?s>|/?INST\]|/?<SYS>>|<SYS>>|</SYS>>|\|)', '\1~\2\3', 'g'"
+
+CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(10 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), {ESCAPE})) + length(regexp_replace(text, {ESCAPE}))) AS BIGINT) - count(*) AS formatted_chars
+ FROM c GROUP BY conv_id"""
+
+
+def _urls() -> str:
+    fits = lambda h, p: " ".join(
+        f"WHEN ({h} = '{r.host}' OR {h} LIKE '%.{r.host}') AND starts_with({p}, '{r.path}') THEN '{r.verdict} {r.name}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name))
+    )
+    parts = lambda u: f"translate(regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*'), {LOWER})", lambda u: f"regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+    host, path = parts
+    rest = lambda u: f"regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
+    key = lambda u: f"CASE WHEN instr({u}, '://') > 0 THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
+    tag = lambda outer, inner: f"regexp_extract(regexp_extract(html, {_text(outer)}), {_text(inner)}, 1)"
+    return f"""WITH RECURSIVE p AS (SELECT page_id, html, url, CASE WHEN instr(url, '://') > 0 THEN {host("url")} ELSE '' END AS host, CASE WHEN instr(url, '://') > 0 THEN {path("url")} ELSE '' END AS path, {key("url")} AS k FROM pages),
+    t AS (SELECT host, k, unnest([{tag(U.LINK, U.HREF)}, {tag(U.REFRESH, U.TARGET)}]) AS target FROM p),
+    a AS (SELECT k AS u, CASE WHEN starts_with(target, '/') THEN 'http://' || host || target ELSE target END AS target FROM t WHERE target <> ''),
+    e0 AS (SELECT u, {key("target")} AS v FROM a), e AS (SELECT u, v FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL),
+    r AS (SELECT u AS n, u AS m FROM e UNION SELECT r.n, e.v FROM r JOIN e ON r.m = e.u),
+    f AS (SELECT n, min(m) AS component, bool_or(coalesce(CASE {fits("translate(regexp_extract(m, '^[^/?#]*'), " + LOWER + ")", "regexp_extract(m, '^[^/?#]*([^?#]*)', 1)")} END, '') LIKE 'block%') AS blocked FROM r GROUP BY n),
+    j AS (SELECT page_id, host, path, k, CASE {fits("host", "path")} END AS hit FROM p)
+    SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, coalesce(split_part(hit, ' ', 1), CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, component FROM j LEFT JOIN f ON f.n = j.k"""
+
+
+NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {LOWER}), '{GAP}'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+ n AS (SELECT doc_id, len(g) AS n FROM g), s AS (SELECT doc_id, hash(unnest(g)) AS h FROM g),
+ meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM meets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM link UNION SELECT b, a FROM link), r AS (SELECT a AS n, a AS m FROM e UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
+ cls AS (SELECT doc_id, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(g)) ELSE doc_id END AS class_id FROM g)
+ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept, class_id FROM n LEFT JOIN c ON c.n = n.doc_id JOIN cls USING (doc_id)"""
+
+TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": _licenses(), "op3_chat_trees": CHAT, "op4_url_filter": _urls(), "op6_near_duplicates": NEAR, "op10_nra_topk": TOPK}
