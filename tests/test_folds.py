@@ -136,7 +136,7 @@ def test_night_clusters_and_overlap():
     for f in range(60):
         out += c.step(s, f, 0, 0.5, motion=20 <= f < 40)
     out += c.flush(until=59)
-    assert [x[1:3] for x in out][0] == (15, 25) and out[1][1] <= out[0][2] and all(x[3] > 0 for x in out)
+    assert [x[1:3] for x in out][0] == (15, 30) and out[1][1] <= out[0][2] and all(x[3] > 0 for x in out)
 
 
 def test_pipeline_and_sinks(spark, tmp_path):

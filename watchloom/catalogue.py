@@ -643,3 +643,22 @@ def scalar_rules(spark, d):
     size = S.inference_size(F.lit(1280), F.lit(720), 0.5, 320)
     place = S.grid_place(F.col("frame_index"), 4)
     return f.select("stream_id", "frame_index", size["w"].alias("w"), size["h"].alias("h"), S.clock(F.col("frame_index") / 25).alias("clock"), place["row"].alias("grid_row"), place["col"].alias("grid_col"))
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS frame_count, min(frame_index) AS first, max(frame_index) AS last FROM frames GROUP BY ALL")
+def tumbling_chunks(spark, d):
+    a = K.tumbling_chunks(frames(spark, d), 86400)
+    return a.select("stream_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "frame_count", "first", "last")
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, frame_index, frame_index // 5 * 5 AS det, CAST(1 AS INTEGER) AS n FROM frames")
+def fill_between(spark, d):
+    f = frames(spark, d)
+    seen = f.where("frame_index % 5 = 0").select("stream_id", "frame_index", F.lit(0).alias("track_id"), F.col("frame_index").alias("det"))
+    a = T.fill_between(f, seen)
+    return a.select("stream_id", "frame_index", F.get("boxes", F.lit(0))["det"].alias("det"), F.size("boxes").alias("n"))
+
+
+@query(f"WITH {SITE}{TAGS} SELECT id FROM tags ANTI JOIN site USING (id) ORDER BY id LIMIT 20")
+def first_missing(spark, d):
+    return R.missed_tags(site_rows(spark, d), _tags(spark, d)).select("id").orderBy("id").limit(20)
