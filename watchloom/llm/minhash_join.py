@@ -1,16 +1,17 @@
 """Near-duplicates by an inverted join over MinHash signature coordinates, confirmed on full shingle sets.
 
 1. Each text becomes its set of word shingles; equal sets are one class, represented by its smallest id.
-2. A class has a signature of ``coordinates`` minima. Every (coordinate, value) pair is a token. Two sets of
-   similarity s agree in about s * coordinates tokens; pairs with at least ``matches`` agreements are candidates.
-3. Prefix: in one global order of tokens, rare ones first, two signatures with that many agreements share one of the first
-   coordinates - matches + 1 tokens. Only these are posted. The order comes from a table of token counts of fixed
+2. A class has a signature of ``coordinates`` minima. A (coordinate, value) pair of the first ``posted`` ones is a token. Two
+   sets of similarity s agree in about s * posted tokens.
+3. Prefix: in one global order of tokens, rare ones first, two signatures with ``matches`` agreements share one of the first
+   posted - matches + 1 tokens. Only these are posted. The order comes from a table of token counts of fixed
    size; any order is right, a good one keeps frequent passages out of the prefixes.
-4. Skip: within a posting list nobody is compared with everybody. Every member is compared with the list's smallest
-   id; the links found make components. Lists whose members all lie in one component are done. For others,
-   components are compared through their pivots: Hamming distance of signatures is a metric, so two members
-   can only agree enough if their distances to the pivots allow it. Only such pairs are compared.
-5. Candidates are confirmed on full sets, links make components.
+4. Skip: within a posting list nobody is compared with everybody at first. Its leader, the member with the most frequent
+   tokens, is compared with the others, and the links found make components. Only what lies in different
+   components under one leader is compared further.
+5. Comparing counts collisions: one bit of each of all coordinates is kept, and pairs with more than ``differ`` unequal
+   bits are out. The count is part of the join's condition, so pairs that fail it are never rows.
+6. What is left is confirmed on full sets; links make components.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import connected_components
@@ -47,7 +48,17 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def _sign(k: int, width: int):
+def _bit_names(k: int) -> list[str]:
+    return [f"b{i}" for i in range(k // 64)]
+
+
+def _bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, 64 to a word."""
+    low = (mix(sig.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(low, axis=1).view(">i8").astype(np.int64)
+
+
+def _sign(k: int, posted: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
@@ -58,9 +69,10 @@ def _sign(k: int, width: int):
                         ids.slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, sig)], pa.binary()),
+                        pa.array([r[:posted].tobytes() if len(s) else None for s, r in zip(sets, sig)], pa.binary()),
+                        *[pa.array(w) for w in _bits(sig).T],
                     ],
-                    names=["id", "n_shingles", "class", "sig"],
+                    names=["id", "n_shingles", "class", "sig", *_bit_names(k)],
                 )
                 at += len(sets)
 
@@ -109,27 +121,23 @@ def _post(k: int, prefix: int, sketch):
             n = np.minimum(seen[_sketch_cells(_spread(sig))], (1 << 24) - 1)
             first = np.argsort((n << 38) | token, axis=1)[:, :prefix]
             picked = np.take_along_axis(token, first, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(picked.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), prefix))], names=["token", "id"])
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            weight = (n.sum(axis=1) << 20) | (mix(ids.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(picked.ravel()), pa.array(np.repeat(ids, prefix)), pa.array(np.repeat(weight, prefix))], names=["token", "id", "weight"])
 
     return run
 
 
-def _distance(k: int):
-    """Adds d, the number of coordinates in which two signatures differ."""
+def _unequal(k: int, a: str, b: str) -> Column:
+    """In how many coordinates' bits two rows differ."""
+    total = F.lit(0)
+    for w in _bit_names(k):
+        total = total + F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}")))
+    return total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                d = (_matrix(b.column(2), k) != _matrix(b.column(3), k)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.astype(np.int64))], names=["a", "b", "d"])
-
-    return run
 
-
-def _with_distance(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(a, b, d) for distinct pairs of ids."""
-    sig = lambda side: reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"))
-    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_distance(k), "a long, b long, d long")
+def _side(rows: DataFrame, name: str, k: int, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("id").alias(name), *[F.col(w).alias(f"{name}{w}") for w in _bit_names(k)])
 
 
 def _confirm(width: int, percent: int):
@@ -166,8 +174,10 @@ def near_duplicates(
     text_col: str = "text",
     width: int = 5,
     percent: int = 85,
-    coordinates: int = 64,
+    coordinates: int = 256,
+    posted: int = 64,
     matches: int = 40,
+    differ: int = 37,
 ) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept, class_id (the smallest id with an equal set).
 
@@ -176,17 +186,18 @@ def near_duplicates(
     empty texts have none and link with nothing. Repeated rows and equal texts are one class; rows that share an id
     share its component. An empty table gives an empty table; other columns are ignored. Ids are integers, not null.
 
-    matches: a pair of similarity percent/100 agrees in fewer coordinates with a probability of about one in a million at the
-    defaults (binomial, 64 tries of 0.85), and more similar pairs with less; everything after that threshold is exact.
+    At the defaults a pair of similarity 0.85 agrees in fewer than 40 of 64 coordinates with a probability of some millionths,
+    and differs in more than 37 of 256 bits with one of some hundred-thousandths; more similar pairs far
+    less. All else is exact.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_sign(coordinates, width), "id long, n_shingles long, class binary, sig binary"))
+    bits = ", ".join(f"{w} long" for w in _bit_names(coordinates))
+    signed = cut(texts.mapInArrow(_sign(coordinates, posted, width), f"id long, n_shingles long, class binary, sig binary, {bits}"))
     # one row per task and class first, so a class of any size is small when it meets
     least = signed.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"))
     signed_rep = signed.select("id", "n_shingles", "class").join(least, "class", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    reps = signed.where("class is not null").join(least, "class").where("id = rep").select("id", "class", "sig").dropDuplicates(["id", "class"]).select("id", "sig")
-    reps = cut(reps)
-    links = _links(texts, reps, width, percent, coordinates, matches)
+    reps = signed.where("class is not null").join(least, "class").where("id = rep").dropDuplicates(["id", "class"]).select("id", "sig", *_bit_names(coordinates))
+    links = _links(texts, cut(reps), width, percent, coordinates, posted, matches, differ)
     # rows that share an id but not a text tie their classes together
     same_id = signed_rep.where("rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     shared = same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))
@@ -196,42 +207,40 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"), F.col("rep").alias("class_id"))
 
 
-def _links(texts: DataFrame, reps: DataFrame, width: int, percent: int, k: int, matches: int) -> DataFrame:
+def _links(texts: DataFrame, reps: DataFrame, width: int, percent: int, k: int, posted: int, matches: int, differ: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives that connect whatever all links connect."""
-    far = k - matches
-    sketch = reps.sparkSession.sparkContext.broadcast(_sketch(reps, k))
-    posted = reps.select("id", "sig").mapInArrow(_post(k, far + 1, sketch), "token long, id long")
-    lists = posted.groupBy("token").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    lists = cut(posted.join(lists, "token"))
-    stars = lists.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    first = cut(_confirmed(_with_distance(stars, reps, k).where(F.col("d") <= far), texts, width, percent))
+    sketch = reps.sparkSession.sparkContext.broadcast(_sketch(reps, posted))
+    lists = reps.select("id", "sig").mapInArrow(_post(posted, posted - matches + 1, sketch), "token long, id long, weight long")
+    leaders = lists.groupBy("token").agg(F.max_by("id", "weight").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "leader")
+    stars = cut(lists.select("token", "id").join(leaders, "token").select("leader", "id").distinct())
+    near = stars.where("leader <> id").join(_side(reps, "x", k), F.col("id") == F.col("x")).drop("id")
+    near = near.join(_side(reps, "y", k), F.col("leader") == F.col("y")).where(_unequal(k, "x", "y") <= differ)
+    first = cut(_confirmed(cut(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), texts, width, percent))
+
+    # under leaders whose lists hold several components
     comp = connected_components(first, "a", "b")
-
-    # lists whose members lie in several components
-    comp = cut(comp)
-    in_lists = lists.select("token", "id").join(comp, lists["id"] == comp["node"], "left").select("token", "id", F.coalesce("component", "id").alias("c"))
-    mixed = in_lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    in_mixed = cut(in_lists.join(mixed, "token", "left_semi"))
-    pivot = _with_distance(comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), reps, k)
-    reach = cut(pivot.select(F.col("b").alias("id"), F.col("d").alias("g")))
-    radius = comp.join(reach, comp["node"] == reach["id"]).groupBy("component").agg(F.max("g").alias("r"))
-    at = in_mixed.select("token", "c").distinct()
-    met = cut(at.select("token", F.col("c").alias("a")).join(at.select("token", F.col("c").alias("b")), "token").where("a < b"))
-    two = _with_distance(met.select("a", "b").distinct(), reps, k)
-    for side in "ab":
-        two = two.join(radius.select(F.col("component").alias(side), F.col("r").alias(f"r_{side}")), side, "left")
-    two = two.select("a", "b", "d", F.coalesce("r_a", F.lit(0)).alias("r_a"), F.coalesce("r_b", F.lit(0)).alias("r_b")).where(F.col("d") <= far + F.col("r_a") + F.col("r_b"))
-    near = cut(met.join(two, ["a", "b"]))
-    member = in_mixed.join(reach, "id", "left").select("token", "id", "c", F.coalesce("g", F.lit(0)).alias("g"))
-    x = member.select("token", F.col("c").alias("a"), F.col("id").alias("x"), F.col("g").alias("gx"))
-    y = member.select("token", F.col("c").alias("b"), F.col("id").alias("y"), F.col("g").alias("gy"))
-    pairs = near.join(x, ["token", "a"]).where(F.col("gx") + F.col("r_b") >= F.col("d") - far).join(y, ["token", "b"]).where(F.col("gx") + F.col("gy") >= F.col("d") - far)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(_with_distance(pairs, reps, k).where(F.col("d") <= far), texts, width, percent)
-    return cut(first.union(more))
+    held = stars.join(comp, stars["id"] == comp["node"], "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
+    mixed = held.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("leader")
+    member = cut(held.join(mixed, "leader", "left_semi").join(reps.drop("sig"), "id"))
+    x = _side(member, "x", k, "leader", F.col("c").alias("cx"))
+    y = _side(member, "y", k, "leader", F.col("c").alias("cy"))
+    apart = x.join(y, (x["leader"] == y["leader"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (_unequal(k, "x", "y") <= differ))
+    pairs = apart.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return cut(first.union(_confirmed(cut(pairs), texts, width, percent)))
+
+
+def _involved(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of texts that may be in pairs: by a bitmap of fixed size, 2**17 words of 64 bits, so most other texts don't move."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    one = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(at(F.col("id")).alias("h")).select(F.shiftright("h", 6).alias("w"), one("h").alias("bit"))
+    marks = marks.groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    a = texts.withColumn("h", at(F.col("id")))
+    return a.join(F.broadcast(marks), F.shiftright("h", 6) == F.col("w")).where(F.col("bits").bitwiseAND(one("h")) != 0).select("id", "text")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+    some = _involved(pairs, texts)
+    text = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirm(width, percent), "a long, b long").distinct()
