@@ -10,8 +10,8 @@
    tokens, is compared with the others, and the links found make components. Only what lies in different
    components under one leader is compared further.
 5. Comparing counts collisions: one bit of each of all coordinates is kept, and pairs with more than ``differ`` unequal
-   bits are out. The count is part of the join's condition, so pairs that fail it are never rows.
-6. What is left is confirmed on full sets; links make components.
+   bits are out. A semi-join keeps the members that have any pair left, so those pairs are never rows.
+6. Links are confirmed on full sets, under leaders as part of the join's condition; links make components.
 """
 
 from __future__ import annotations
@@ -222,25 +222,46 @@ def _links(texts: DataFrame, reps: DataFrame, width: int, percent: int, k: int,
     held = stars.join(comp, stars["id"] == comp["node"], "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
     mixed = held.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("leader")
     member = cut(held.join(mixed, "leader", "left_semi").join(reps.drop("sig"), "id"))
-    x = _side(member, "x", k, "leader", F.col("c").alias("cx"))
-    y = _side(member, "y", k, "leader", F.col("c").alias("cy"))
-    apart = x.join(y, (x["leader"] == y["leader"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (_unequal(k, "x", "y") <= differ))
-    pairs = apart.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return cut(first.union(_confirmed(cut(pairs), texts, width, percent)))
+    x, y = (_side(member, n, k, F.col("leader").alias(f"{n}_leader"), F.col("c").alias(f"{n}_c")) for n in "xy")
+    apart = (F.col("x_leader") == F.col("y_leader")) & (F.col("x_c") != F.col("y_c")) & (_unequal(k, "x", "y") <= differ)
+    open_ids = cut(x.join(y, apart, "left_semi").select(F.col("x_leader").alias("leader"), F.col("x").alias("id")))
+    whole = member.join(open_ids, ["leader", "id"]).join(_involved(open_ids.select("id"), texts), "id").select("leader", "id", "c", *_bit_names(k), "text")
+    bits = ", ".join(f"{w} long" for w in _bit_names(k))
+    whole = cut(whole.mapInArrow(_with_sets(width), f"leader long, id long, c long, {bits}, s array<long>"))
+    x, y = (_side(whole, n, k, F.col("leader").alias(f"{n}_leader"), F.col("c").alias(f"{n}_c"), F.col("s").alias(f"{n}_s")) for n in "xy")
+    common = F.size(F.array_intersect("x_s", "y_s"))
+    alike = 100 * common >= percent * (F.size("x_s") + F.size("y_s") - common)
+    more = x.join(y, apart & (F.col("x") < F.col("y")) & alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return cut(first.union(more))
+
+
+def _with_sets(width: int):
+    """Replaces the last column, a text, by its set of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = 0, b.num_columns - 1
+            for sets in shingle_sets(b.column(n).to_pylist(), width):
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sets)) for c in b.columns[:n]), s], names=[*b.schema.names[:n], "s"])
+                at += len(sets)
+
+    return run
 
 
-def _involved(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of texts that may be in pairs: by a bitmap of fixed size, 2**17 words of 64 bits, so most other texts don't move."""
+def _involved(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of texts whose id is among ids, and some more: by a bitmap of fixed size, 2**17 words of 64 bits, so most other texts don't move."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
     one = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(at(F.col("id")).alias("h")).select(F.shiftright("h", 6).alias("w"), one("h").alias("bit"))
+    marks = ids.select(at(F.col("id")).alias("h")).select(F.shiftright("h", 6).alias("w"), one("h").alias("bit"))
     marks = marks.groupBy("w").agg(F.bit_or("bit").alias("bits"))
     a = texts.withColumn("h", at(F.col("id")))
     return a.join(F.broadcast(marks), F.shiftright("h", 6) == F.col("w")).where(F.col("bits").bitwiseAND(one("h")) != 0).select("id", "text")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    some = _involved(pairs, texts)
+    some = _involved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts)
     text = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirm(width, percent), "a long, b long").distinct()
