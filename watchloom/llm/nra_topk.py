@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 from watchloom.llm.storage import cut
 
 
+_SEEN = 1 << 44
+
+
 class SortedLists:
     """The component lists of one shard. Rows are in id order, so that ties go to the smaller position."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[by_id], np.ascontiguousarray(x[by_id])
-        self.order = [np.argsort(c, kind="stable") for c in self.x.T]
-        self.values = [c[o] for c, o in zip(self.x.T, self.order)]
+        self.columns = np.ascontiguousarray(self.x.T)
+        self.order = [np.argsort(c, kind="stable") for c in self.columns]
+        self.values = [c[o] for c, o in zip(self.columns, self.order)]
 
     def top(self, q: np.ndarray, k: int, own: int, stop_at: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and scores of the k best rows other than id own, and how many list entries were read."""
@@ -43,14 +47,16 @@ class SortedLists:
         heads = np.setdiff1d(np.concatenate(heads) if heads else np.arange(min(n, 2 * k)), out)
         known = self.x[heads] @ q
         low = np.sort(known)[-k] if len(known) >= k else np.iinfo(np.int64).min
-        total, seen, entries = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int16), 0
+        # one number holds a row's sum of seen contributions and, above it, in how many lists it was seen
+        packed, entries = np.zeros(n, dtype=np.int64), 0
         weight = {d: int(q[d]) for d in used}
         read = {d: n if weight[d] > 0 else 0 for d in used}  # the first entry read of an ascending list, else the first not read
         ends = {d: (int(self.values[d][0]) * weight[d], int(self.values[d][-1]) * weight[d]) for d in used}
         most = np.array([max(e) for e in ends.values()], dtype=np.int64)
         floor = sum(min(0, *e) for e in ends.values())
         t = max(0, int(low) // max(1, len(used)))
-        while True:
+        left = np.arange(n)
+        while sum(max(map(abs, e)) for e in ends.values()) < _SEEN // 2:  # else the sums don't fit, and all rows are scored in full
             for d, w in weight.items():
                 v = self.values[d]
                 if w > 0:  # w * x >= t
@@ -60,17 +66,21 @@ class SortedLists:
                     a, b = read[d], max(read[d], int(np.searchsorted(v, (-t) // -w, "right")))
                     read[d] = b
                 if a < b:
-                    rows = self.order[d][a:b]
-                    total[rows] += w * v[a:b]
-                    seen[rows] += 1
+                    if b - a < n // 3:
+                        packed[self.order[d][a:b]] += w * v[a:b] + _SEEN
+                    else:  # a long stretch of a list: the same entries, in the order in which they lie in memory
+                        c = self.columns[d]
+                        packed += (w * c + _SEEN) * ((c >= v[a]) & (c <= v[b - 1]))
                     entries += b - a
+            seen = (packed + _SEEN // 2) // _SEEN
+            total = packed - seen * _SEEN
             lower = total + floor
             lower[out] = np.iinfo(np.int64).min
             low = max(low, np.partition(lower, n - k)[n - k])
-            left = np.flatnonzero(total + int(np.minimum(most, t).sum()) - t * seen.astype(np.int64) >= low)
+            left = np.flatnonzero(total + int(np.minimum(most, t).sum()) - t * seen >= low)
             if len(left) <= stop_at or all(read[d] == (0 if w > 0 else n) for d, w in weight.items()):
                 break
-            t = t // 4 if t > 0 else 4 * t - 64
+            t = t // 16 if t > 0 else 16 * t - 1024
         left = np.setdiff1d(left, out)
         score = self.x[left] @ q
         best = np.lexsort((left, -score))[:k]
