@@ -106,17 +106,27 @@ def best_paths(
     tied = a.select("tree", "id", "parent", "score").join(there, ["tree", "parent"], "left")
     jump = cut(tied.select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")))
 
-    # jumps[k] leads 2**k messages up; a message whose jump is null has its root inside the sum
-    jumps, sums, open_rows = [jump.select("tree", "id", "to").where("to is not null")], jump, None
+    # jumps[k] leads 2**k messages up; a message whose jump is null has its root inside the sum and is settled, so
+    # that each step only moves the messages that lie deeper than the steps so far
+    settled, rising = [jump.where("to is null")], jump.where("to is not null")
+    jumps, open_rows = [rising.select("tree", "id", "to")], None
     while True:
-        now = jumps[-1].count()
-        if not now or now == open_rows:
+        now = rising.count()
+        if not now or now == open_rows:  # nothing left, or only cycles
             break
         open_rows = now
-        up = sums.select("tree", F.col("id").alias("to"), F.col("to").alias("next"), F.col("sum").alias("more"), F.col("n").alias("above"))
-        sums = cut(sums.join(up, ["tree", "to"], "left").select("tree", "id", F.col("next").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("above", F.lit(0))).alias("n")))
-        jumps.append(sums.select("tree", "id", "to").where("to is not null"))
-    rooted = sums.where("to is null")
+        up = rising
+        for part in settled:
+            up = up.union(part)
+        up = up.select("tree", F.col("id").alias("to"), F.col("to").alias("next"), F.col("sum").alias("more"), F.col("n").alias("above"))
+        risen = rising.join(up, ["tree", "to"], "left").select("tree", "id", F.col("next").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("above", F.lit(0))).alias("n"))
+        risen = cut(risen)
+        settled.append(risen.where("to is null"))
+        rising = risen.where("to is not null")
+        jumps.append(rising.select("tree", "id", "to"))
+    rooted = settled[0]
+    for part in settled[1:]:
+        rooted = rooted.union(part)
     leaves = rooted.join(tied.where("known").select("tree", F.col("parent").alias("id")).distinct(), ["tree", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "id"))
     leaves = leaves.select("tree", "id", (F.col("sum") / F.col("n")).alias("score"), "n").withColumn("rank", rank)
