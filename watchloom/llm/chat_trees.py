@@ -127,7 +127,8 @@ def best_paths(
     rooted = settled[0]
     for part in settled[1:]:
         rooted = rooted.union(part)
-    leaves = rooted.join(tied.where("known").select("tree", F.col("parent").alias("id")).distinct(), ["tree", "id"], "left_anti")
+    parents = cut(tied.where("known").select("tree", F.col("parent").alias("id")).distinct())  # once, not for each settled part
+    leaves = rooted.join(parents, ["tree", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "id"))
     leaves = leaves.select("tree", "id", (F.col("sum") / F.col("n")).alias("score"), "n").withColumn("rank", rank)
     if top is not None:
