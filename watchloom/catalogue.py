@@ -239,7 +239,9 @@ def audio_union_keep(spark, d):
 def rms_buckets(spark, d):
     f = frames(spark, d)
     samples = f.select("stream_id", F.col("frame_index").alias("sample_index"), (F.col("rms") / 500).alias("x"))
-    spine = f.select("stream_id").distinct().select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("frame_index"))
+    # 40 frames, as the SQL has, or as many as the stream's own samples fill at 3 a frame
+    last = F.greatest(F.lit(40).cast("long"), F.ceil(F.col("total") / 3)) - 1
+    spine = O.stream_lengths(f).select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("frame_index"))
     return O.rms_buckets(samples, spine, 80, 25.0).select("stream_id", "frame_index", r6("rms"))
 
 
