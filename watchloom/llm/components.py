@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.storage import cut
+from watchloom.llm.storage import cut, free
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 100) -> DataFrame:
@@ -15,27 +15,29 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     its smallest neighbour, until the edges form stars; the number of rounds grows with the logarithm of the number
     of nodes. Minima are aggregated before they are joined, so a node of very high degree is one row on one side and
     rows that a skewed join may split on the other. Self-loops and repeated edges change nothing, null ends
-    are no edges, and an edgeless graph gives no rows.
+    are no edges, and an edgeless graph gives no rows. Each round's edges replace those before it on disk; the result reads the last.
     """
     a = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     now = cut(a.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
-    if not mark[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if mark[0] else 0):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        old, now = now, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        free(old)
         before, mark = mark, _mark(now)
         if mark == before:
             break
     else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     tied = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return tied.union(tied.select(F.col("component").alias("node"), "component").distinct())
+    out = tied.union(tied.select(F.col("component").alias("node"), "component").distinct())
+    out._cut_path = now._cut_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

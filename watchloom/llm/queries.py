@@ -21,10 +21,9 @@ from watchloom.llm.vector_packing import pack_documents
 #: A deployment sets its own key; this one only makes the registered queries repeatable.
 PSEUDONYM_KEY = b"watchloom example key"
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
-NEAR_DUPLICATES = {"width": 5, "percent": 85, "coordinates": 256, "posted": 64, "matches": 40, "differ": 37}
-#: The pipeline's stage links from similarity 0.80 on. Such a pair agrees in fewer than 36 of 64 coordinates with a probability of 4e-6, and
-#: differs in more than 46 of 256 bits with one of 3e-5 (binomial).
-STAGE_NEAR_DUPLICATES = NEAR_DUPLICATES | {"percent": 80, "matches": 36, "differ": 46}
+NEAR_DUPLICATES = {"width": 5, "percent": 85, "coordinates": 64, "matches": 40}
+#: The pipeline's stage links from similarity 0.80 on. Such a pair agrees in fewer than 36 of 64 coordinates with a probability of 4e-6 (binomial).
+STAGE_NEAR_DUPLICATES = NEAR_DUPLICATES | {"percent": 80, "matches": 36}
 QUALITY_FIT = {"trusted": "quality = 1", "n_buckets": 8192, "sample_rows": 4000}
 MIX = {"weights": [5.0, 2.0, 1.0], "max_repeats": 3, "budget_ratio": 1.0}
 PACKING = {"capacity": 1024, "max_segments": 256, "max_loss": 1024, "end_id": 0}
