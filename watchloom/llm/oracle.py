@@ -19,20 +19,31 @@ def _text(s: str) -> str:
 
 
 def _licenses() -> str:
-    known = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in L._known(L.SENTENCES).items())
+    known, sequences = L.known_parts(L.SENTENCES)
+    table = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in known.items()) + "}"
+    find = lambda s: f"m[trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))]"
+    each = lambda lines: f"list_filter(list_transform({lines}, lambda y: {find('y')}), lambda z: z IS NOT NULL)"
+    titles = " ".join(
+        f"WHEN len(l) > {n} AND {find(f"array_to_string(l[{n + 1}:], ' ')")} IS NOT NULL THEN list_append({each(f'l[:{n}]')}, {find(f"array_to_string(l[{n + 1}:], ' ')")})" for n in range(1, L.TITLES + 1)
+    )
+    ids = "',' || array_to_string(p, ',,') || ','"
+    for seq, ident in sequences:
+        ids = f"replace({ids}, {_text(L.sequence_text(seq))}, {_text(f',{ident},')})"
     steps, found = [], []
-    for k, (name, ids) in enumerate(L.RULES):
-        seq = ",".join(f",{i}," for i in ids).replace(",,,", ",,")
-        steps.append(f"contains(s{k}, '{seq}') AS h{k}, replace(s{k}, '{seq}', ',|,') AS s{k + 1}")
-        before = "".join(f" AND NOT h{j}" for j in range(k) if L.RULES[j][0] == name)
+    for k, (name, seq) in enumerate(L.RULES):
+        steps.append(f"contains(s{k}, {_text(L.sequence_text(seq))}) AS h{k}, replace(s{k}, {_text(L.sequence_text(seq))}, ',|,') AS s{k + 1}")
+        before = "".join(f" AND NOT h{j}" for j in range(k) if (L.RULES[j][0] == name or name == L.FALLBACK))
         found.append(f"CASE WHEN h{k}{before} THEN '{name}' END")
-    return f"""WITH known(sentence, ident) AS (VALUES {known}),
-    cuts AS (SELECT doc_id, row_number() OVER () AS d, string_split_regex(regexp_replace(text, '\\n[\\x20\\x09*#/]*([a-z])', ' \\1', 'g'), '\\n|[.!?;][\\x20\\x09-\\x0D]+') AS c FROM documents),
-    one AS (SELECT d, unnest(c) AS s, unnest(range(len(c))) AS i FROM cuts),
-    ids AS (SELECT d, string_agg(ident, ',' ORDER BY i) AS sentence_ids FROM one JOIN known ON known.sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY d),
-    base AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, ',' || replace(coalesce(sentence_ids, ''), ',', ',,') || ',' AS s0 FROM cuts LEFT JOIN ids USING (d)),
-    told AS (SELECT doc_id, sentence_ids, {", ".join(steps)} FROM base)
-    SELECT doc_id, concat_ws(',', {", ".join(found)}) AS licenses, sentence_ids, array_to_string(list_filter(string_split(s{len(L.RULES)}, ','), lambda x: x <> '' AND x <> '|'), ',') AS leftover FROM told"""
+    listed = lambda s: f"array_to_string(list_filter(string_split({s}, ','), lambda x: x <> '' AND x <> '|'), ',')"
+    return f"""WITH cuts AS (SELECT row_number() OVER () AS d, doc_id, string_split_regex(regexp_replace(regexp_replace(chr(10) || replace(coalesce(text, ''), chr(13), ''), {_text(L.SIGNS)}, chr(10), 'g'), {_text(L.COPYRIGHT)}, '\\1' || chr(10), 'g'), {_text(L.BOUNDARY)}) AS c FROM documents),
+    one AS (SELECT d, {table} AS m, unnest(c) AS s, unnest(range(len(c))) AS i FROM cuts),
+    lines AS (SELECT d, i, m, s, string_split(s, chr(10)) AS l FROM one),
+    told AS (SELECT d, i, CASE WHEN {find("s")} IS NOT NULL THEN [{find("s")}] {titles} ELSE {each("l")} END AS p FROM lines),
+    doc AS (SELECT d, flatten(list(p ORDER BY i)) AS p FROM told WHERE len(p) > 0 GROUP BY d),
+    complete AS (SELECT d, list_filter(string_split({ids}, ','), lambda x: x <> '' AND NOT contains(x, '/')) AS w FROM doc),
+    base AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN ',' || array_to_string(w, ',,') || ',' ELSE '' END AS s0 FROM cuts LEFT JOIN complete USING (d)),
+    ruled AS (SELECT doc_id, {", ".join(steps)}, s0 AS ids FROM base)
+    SELECT doc_id, concat_ws(',', {", ".join(found)}) AS licenses, {listed("ids")} AS sentence_ids, {listed(f"s{len(L.RULES)}")} AS leftover FROM ruled"""
 
 
 ESCAPE = r"'([<\[])(~*)(/?s>|/?INST\]|/?<SYS>>|<SYS>>|</SYS>>|\|)', '\1~\2\3', 'g'"
