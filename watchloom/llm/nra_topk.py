@@ -1,12 +1,11 @@
 """Exact top-k by inner product with the no-random-access algorithm over sorted component lists.
 
-Rows are dealt to candidate shards and queries to blocks of bounded size; each shard meets each block once. A shard keeps one
-list per component, sorted by value. For a query, component d contributes q[d] * x[d], so its list is read from the
-end where that is largest. All lists are read down to a common contribution t; a row's seen contributions plus t for
-each list it wasn't seen in bound its score from above, its seen contributions plus the least that lists can add
-bound it from below. Rows whose upper bound is under the k-th best lower bound (or under the
-k-th best score that an earlier step resolved) are out, and so is every row never seen once t times the number of
-lists is. Reading stops when few rows are left; their scores are then resolved in full.
+Rows are dealt to shards of bounded size. A shard keeps one list per component, sorted by the size of its values, and the rows'
+norms; batches of queries stream past it. All lists are read in parallel, stretch by stretch, to a common depth. What a row has
+contributed so far is its score but for the components not read yet, and these add at most the product of what is left of
+the two norms (Cauchy-Schwarz): that bounds the score from above and below. Rows whose upper bound is under
+the k-th best lower bound are out, rows never seen included. A query stops when few rows are left; their scores are
+then resolved exactly. A stretch is read for all queries of a batch at once, as a matrix that holds its entries and is zero elsewhere.
 """
 
 from __future__ import annotations
@@ -14,81 +13,110 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.storage import cut
 
-
-_SEEN = 1 << 44
+LONG = np.iinfo(np.int64)
+LEAST, MOST = float(LONG.min), float(LONG.max)  # scores beyond are cut to these and tie
+#: Depths, as parts of each list, at which bounds are looked at.
+DEPTHS = (1 / 32, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1.0)
 
 
 class SortedLists:
-    """The component lists of one shard. Rows are in id order, so that ties go to the smaller position."""
+    """The component lists of one shard, over its distinct vectors; of equal ones the smallest ids stand for all, as ties go to them."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, most: int = 6):
         by_id = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[by_id], np.ascontiguousarray(x[by_id])
-        self.columns = np.ascontiguousarray(self.x.T)
-        self.order = [np.argsort(c, kind="stable") for c in self.columns]
-        self.values = [c[o] for c, o in zip(self.columns, self.order)]
-
-    def top(self, q: np.ndarray, k: int, own: int, stop_at: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Positions and scores of the k best rows other than id own, and how many list entries were read."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        out = np.flatnonzero(self.ids == own)
-        here = n - len(out)
-        if not here:
-            return np.empty(0, int), np.empty(0, int), 0
-        k = min(k, here)
-        # a starting bound: scores of the rows at the heads of the longest query components' lists
-        heads = [self.order[d][-2 * k :] if q[d] > 0 else self.order[d][: 2 * k] for d in used[np.argsort(-np.abs(q[used]))][:8]]
-        heads = np.setdiff1d(np.concatenate(heads) if heads else np.arange(min(n, 2 * k)), out)
-        known = self.x[heads] @ q
-        low = np.sort(known)[-k] if len(known) >= k else np.iinfo(np.int64).min
-        # one number holds a row's sum of seen contributions and, above it, in how many lists it was seen
-        packed, entries = np.zeros(n, dtype=np.int64), 0
-        weight = {d: int(q[d]) for d in used}
-        read = {d: n if weight[d] > 0 else 0 for d in used}  # the first entry read of an ascending list, else the first not read
-        ends = {d: (int(self.values[d][0]) * weight[d], int(self.values[d][-1]) * weight[d]) for d in used}
-        most = np.array([max(e) for e in ends.values()], dtype=np.int64)
-        floor = sum(min(0, *e) for e in ends.values())
-        t = max(0, int(low) // max(1, len(used)))
-        left = np.arange(n)
-        while sum(max(map(abs, e)) for e in ends.values()) < _SEEN // 2:  # else the sums don't fit, and all rows are scored in full
-            for d, w in weight.items():
-                v = self.values[d]
-                if w > 0:  # w * x >= t
-                    a, b = min(read[d], int(np.searchsorted(v, -(-t // w), "left"))), read[d]
-                    read[d] = a
+        ids, x = ids[by_id], np.ascontiguousarray(x[by_id])
+        whole = x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel() if x.shape[1] else np.zeros(len(x))
+        _, first, same = np.unique(whole, return_index=True, return_inverse=True)
+        self.x = x[first]
+        order = np.argsort(same, kind="stable")
+        starts = np.searchsorted(same[order], np.arange(len(first)))
+        self.ids = [ids[order[a : min(a + most, b)]] for a, b in zip(starts, [*starts[1:], len(order)])]
+        self.rows_of = np.array([len(i) for i in self.ids], dtype=np.int64)
+        self.at = np.repeat(np.arange(len(first)), self.rows_of)
+        flat = np.concatenate(self.ids) if len(first) else np.empty(0, dtype=np.int64)
+        self.by_id = np.argsort(flat, kind="stable")
+        self.flat = flat[self.by_id]
+        self.real = self.x.astype(np.float64)
+        self.order = np.argsort(-np.abs(self.real), axis=0, kind="stable")
+        self.square = np.einsum("ij,ij->i", self.real, self.real)
+        self.stretches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _stretch(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' entries between two depths as a matrix of values, and which they are."""
+        if r not in self.stretches:
+            n = len(self.x)
+            rows = self.order[int(n * ((0.0, *DEPTHS)[r])) : int(np.ceil(n * DEPTHS[r])) if DEPTHS[r] == 1 else int(n * DEPTHS[r])]
+            read = np.zeros(self.real.shape)
+            np.put_along_axis(read, rows, 1.0, axis=0)
+            self.stretches[r] = self.real * read, read
+        return self.stretches[r]
+
+    def top(self, q: np.ndarray, k: int, own: int, stop_at: int) -> tuple[list[int], list[int], int]:
+        """Ids and scores of the k best rows other than id own, and how many list entries were read."""
+        return self.tops(q[None, :], k, [own], stop_at)[0]
+
+    def tops(self, qs: np.ndarray, k: int, owns: list[int], stop_at: int) -> list[tuple[list[int], list[int], int]]:
+        """top() of several queries."""
+        n, out = len(self.x), [([], [], 0)] * len(qs)
+        if not n:
+            return out
+        w = qs.astype(np.float64).T
+        norm = (w * w).sum(axis=0)
+        # float sums of rounded products are off by less than this; sums of integers under 2**53 are not off at all
+        slack = 1e-13 * (len(w) + 4) * np.sqrt(self.square)
+        going = np.arange(len(qs))
+        seen, read_q, left_x, entries = np.zeros((n, len(qs))), np.zeros((n, len(qs))), self.square.copy(), 0
+        for r in range(len(DEPTHS)):
+            values, read = self._stretch(r)
+            seen += values @ w[:, going]
+            read_q += read @ (w[:, going] ** 2)
+            left_x = np.maximum(left_x - np.einsum("ij,ij->i", values, values), 0)
+            entries += int(read.sum())
+            last = r + 1 == len(DEPTHS) or not left_x.any()  # or all that is unread is zero
+            left = np.zeros((n, 1)) if last else np.sqrt(np.maximum(norm[going] - read_q, 0) * left_x[:, None])
+            left = left + slack[:, None] * np.sqrt(norm[going])
+            stay = []
+            for c, g in enumerate(going):
+                here = self._others(owns[g])
+                low = _kth(np.repeat(seen[:, c] - left[:, c], np.minimum(here, k)), k)
+                alive = np.flatnonzero((np.maximum(seen[:, c] + left[:, c], LEAST) >= min(low, MOST)) & (here > 0))
+                if len(alive) <= stop_at or last:
+                    score = _exact(self.x[alive], qs[g])
+                    best = sorted((-s, int(i)) for s, at in zip(score, alive) for i in self.ids[at] if i != owns[g])[:k]
+                    out[g] = [i for _, i in best], [-s for s, _ in best], entries
                 else:
-                    a, b = read[d], max(read[d], int(np.searchsorted(v, (-t) // -w, "right")))
-                    read[d] = b
-                if a < b:
-                    if b - a < n // 3:
-                        packed[self.order[d][a:b]] += w * v[a:b] + _SEEN
-                    else:  # a long stretch of a list: the same entries, in the order in which they lie in memory
-                        c = self.columns[d]
-                        packed += (w * c + _SEEN) * ((c >= v[a]) & (c <= v[b - 1]))
-                    entries += b - a
-            seen = (packed + _SEEN // 2) // _SEEN
-            total = packed - seen * _SEEN
-            lower = total + floor
-            lower[out] = np.iinfo(np.int64).min
-            low = max(low, np.partition(lower, n - k)[n - k])
-            left = np.flatnonzero(total + int(np.minimum(most, t).sum()) - t * seen >= low)
-            if len(left) <= stop_at or all(read[d] == (0 if w > 0 else n) for d, w in weight.items()):
+                    stay.append(c)
+            going, seen, read_q = going[stay], seen[:, stay], read_q[:, stay]
+            if not len(going):
                 break
-            t = t // 16 if t > 0 else 16 * t - 1024
-        left = np.setdiff1d(left, out)
-        score = self.x[left] @ q
-        best = np.lexsort((left, -score))[:k]
-        return left[best], score[best], entries
+        return out
+
+    def _others(self, own: int) -> np.ndarray:
+        """How many candidates each distinct vector stands for, those with id own apart."""
+        here = self.rows_of.copy()
+        np.subtract.at(here, self.at[self.by_id[np.searchsorted(self.flat, own, "left") : np.searchsorted(self.flat, own, "right")]], 1)
+        return here
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    return np.partition(values, len(values) - k)[len(values) - k] if len(values) >= k else -np.inf
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Inner products, in Python's integers where 64 bits might not do; beyond 64 bits the largest or smallest value there is."""
+    if len(x) and float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).sum()) < 2.0**62:
+        return (x @ q).tolist()
+    return [min(max(sum(a * b for a, b in zip(r, q.tolist())), LONG.min), LONG.max) for r in x.tolist()]
 
 
 def quantised(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component as double; null if the vector or a component is null or not finite."""
+    """floor(factor * x) of each component as double, within 64 bits; null if the vector or a component is null or not finite."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(vector.isNotNull() & F.coalesce(sound, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * factor)))
 
@@ -102,6 +130,40 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
+def _search(k: int, stop_at: int, together: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ids, vectors, lists, width = None, [], [], None, 0
+        asks: list[tuple[int, list[int]]] = []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal lists, vectors, width
+            if asks and ids:
+                if lists is None:
+                    width = max(map(len, vectors))
+                    lists, vectors = SortedLists(np.array(ids, dtype=np.int64), _matrix(vectors, width), k + 1), []
+                found = lists.tops(_matrix([v[:width] for _, v in asks], width), k, [own for own, _ in asks], stop_at)
+                out = [(own, i, s) for (own, _), (got, score, _) in zip(asks, found) for i, s in zip(got, score)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "id", "score"])
+            asks.clear()
+
+        for b in batches:
+            for now, asking, own, v in zip(b["task"].to_pylist(), b["asks"].to_pylist(), b["id"].to_pylist(), b["v"].to_pylist()):
+                if now != task:
+                    yield from answers()
+                    task, ids, vectors, lists = now, [], [], None
+                if asking:
+                    asks.append((own, v))
+                    if len(asks) >= together:
+                        yield from answers()
+                else:
+                    ids.append(own)
+                    vectors.append(v)
+        yield from answers()
+
+    return run
+
+
 def exact_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -110,34 +172,29 @@ def exact_topk(
     vector_col: str = "vector",
     k: int = 5,
     shard_rows: int = 16384,
-    block_rows: int = 512,
-    stop_at: int = 256,
+    block_rows: int = 64,
+    stop_at: int = 64,
 ) -> DataFrame:
     """query_id, rank from 1, id_col, score: for each row of queries the k rows of vectors with the largest inner product.
 
-    Vectors are arrays of integers; a shorter one is filled up with zeros, a null one takes no part. The query's own id
-    is no candidate; equal scores go to the smaller id; with fewer than k other rows all are returned. Every row is a candidate of
-    every query. Of rows that repeat an id one counts. Empty tables give no rows; other columns are ignored.
+    Vectors are arrays of integers; a shorter one is filled up with zeros, a null one takes no part, and neither does one without an id. Rows
+    with the query's own id are no candidates; every other row is one for every query, rows that repeat an id too, and query
+    rows that share an id share its ranks. Equal scores go to the smaller id; with fewer than k other rows all are returned.
+    Scores beyond 64 bits are cut to the largest or smallest 64-bit value. Empty tables give no rows; other columns are ignored.
+
+    A shard's lists are built once for each of its tasks; there are several only while shards are fewer than shuffle partitions, each
+    with block_rows queries or more. A task holds one shard, and queries in batches of at most 64.
     """
-    side = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    side = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     rows, asked = cut(side(vectors)), cut(side(queries))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(1, -(-rows.count() // shard_rows))
-    n_blocks = max(1, -(-asked.count() // block_rows))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    left = rows.select(deal(n_shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), deal(n_blocks, 2).alias("block"), "id", "v")
-
-    def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
-        width = max(max(map(len, c["v"])), max(map(len, q["v"])))
-        lists = SortedLists(c["id"].to_numpy(), _matrix(c["v"].tolist(), width))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own, vector in zip(q["id"], _matrix(q["v"].tolist(), width)):
-            at, score, _ = lists.top(vector, k, own, stop_at)
-            out.append((np.full(len(at), own, dtype=np.int64), lists.ids[at].astype(np.int64), score.astype(np.int64)))
-        return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "id", "score"))})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, id long, score long")
+    n_parts = max(1, min(-(-parts // n_shards), -(-asked.count() // block_rows)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")  # noqa: E731  # not by id: an id may repeat
+    held = rows.select("id", "v", dealt(n_shards).alias("shard")).select("id", "v", "shard", upto(n_parts).alias("part"), F.lit(False).alias("asks"))
+    asks = asked.select("id", "v", dealt(n_parts).alias("part")).select("id", "v", upto(n_shards).alias("shard"), "part", F.lit(True).alias("asks"))
+    both = held.unionByName(asks).select((F.col("shard") * n_parts + F.col("part")).alias("task"), "asks", "id", "v")
+    found = both.repartition(max(parts, n_shards * n_parts), "task").sortWithinPartitions("task", "asks").mapInArrow(_search(k, stop_at, min(block_rows, 64)), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
