@@ -26,7 +26,8 @@ NEAR_DUPLICATES = {"width": 5, "percent": 85, "coordinates": 64, "matches": 40}
 STAGE_NEAR_DUPLICATES = NEAR_DUPLICATES | {"percent": 80, "matches": 36}
 QUALITY_FIT = {"trusted": "quality = 1", "n_buckets": 8192, "sample_rows": 4000}
 MIX = {"weights": [5.0, 2.0, 1.0], "max_repeats": 3, "budget_ratio": 1.0}
-PACKING = {"capacity": 1024, "max_segments": 256, "max_loss": 1024, "end_id": 0}
+#: A document's first line is its prompt and bears no loss.
+PACKING = {"capacity": 1024, "max_segments": 8, "max_loss": 1016, "prompt_lines": 1, "end_id": 0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

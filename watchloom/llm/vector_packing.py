@@ -36,26 +36,40 @@ def token_ids(text: str, ranks_path: str, pattern: str) -> list[int]:
     return enc.encode(text, allowed_special={END_OF_TEXT}) if END_OF_TEXT in text else enc.encode_ordinary(text)
 
 
+def first_lines(text: str, n: int) -> str:
+    """The first n lines with their line ends; nothing if the text doesn't go on after them."""
+    end = 0
+    for _ in range(n):
+        end = text.find("\n", end) + 1
+        if not end:
+            return ""
+    return text[:end] if end < len(text) else ""
+
+
 class Packer:
     """Takes examples one by one, yields finished sequences as lists of (id, start, ids, example tokens)."""
 
+    NONE = 1 << 40
+
     def __init__(self, capacity: int, max_segments: int, max_loss: int, pool: int, min_piece: int):
-        self.limits = np.array([capacity, max_segments, max_loss], dtype=np.int64)
+        self.limits = (capacity, max_segments, max_loss)
         self.piece = min(capacity, max_loss)
         self.pool, self.min_piece = pool, min_piece
-        self.demand = np.zeros((2 * pool + 64, 3), dtype=np.int64)
-        self.items: list[tuple | None] = [None] * len(self.demand)
-        self.free = list(range(len(self.demand)))
+        slots = 2 * pool + 64
+        # what a piece uses up: tokens (NONE in a free slot), loss-bearing tokens, and one segment
+        self.tokens, self.loss = np.full(slots, self.NONE), np.zeros(slots, dtype=np.int64)
+        self.items: list[tuple | None] = [None] * slots
+        self.free = list(range(slots))
         self.held = 0
 
     def _put(self, item: tuple) -> None:
         i = self.free.pop()
-        ident, start, ids, total, loss_from = item
-        self.items[i], self.demand[i] = item, (len(ids), 1, max(0, start + len(ids) - max(start, loss_from)))
+        _, start, ids, _, loss_from = item
+        self.items[i], self.tokens[i], self.loss[i] = item, len(ids), max(0, start + len(ids) - max(start, loss_from))
         self.held += 1
 
     def _take(self, i: int) -> tuple:
-        item, self.items[i], self.demand[i] = self.items[i], None, 0
+        item, self.items[i], self.tokens[i] = self.items[i], None, self.NONE
         self.free.append(i)
         self.held -= 1
         return item
@@ -84,27 +98,30 @@ class Packer:
             yield self._sequence()
 
     def _sequence(self) -> list[tuple]:
-        left, out = self.limits.copy(), []
-        square = self.limits.astype(float) ** 2
-        while left[1] and self.held:
-            there = self.demand[:, 0] > 0
-            fits = there & (self.demand <= left).all(axis=1)
-            if fits.any():
-                score = self.demand @ (left / square)
-                item = self._take(int(np.argmax(np.where(fits, score, -1.0))))
-            elif left[0] >= self.min_piece:
-                i = int(np.argmax(self.demand[:, 0]))
-                ident, start, ids, total, loss_from = self.items[i]
-                n = min(int(left[0]), len(ids), max(0, loss_from - start) + int(left[2]))
-                if n < self.min_piece or n == len(ids):
+        (capacity, segments, max_loss), out = self.limits, []
+        left, loss_left = capacity, max_loss
+        while len(out) < segments and left and self.held:
+            fits = (self.tokens <= left) & (self.loss <= loss_left)
+            # demands times what is left, as shares of the limits; every piece takes one segment, so that part is the same for all
+            score = self.tokens * (left / capacity**2) + self.loss * (loss_left / max_loss**2) + (segments - len(out)) / segments**2
+            i = int(np.argmax(np.where(fits, score, -1.0)))
+            if fits[i]:
+                item = self._take(i)
+            elif left >= self.min_piece:
+                # the piece of which most still fits; its first tokens may be a prompt, which bears no loss
+                most = np.where(self.tokens < self.NONE, np.minimum(np.minimum(self.tokens, left), self.tokens - self.loss + loss_left), 0)
+                i = int(np.argmax(most))
+                n = int(most[i])
+                if n < self.min_piece or n == self.tokens[i]:
                     break
-                self._take(i)
+                ident, start, ids, total, loss_from = self._take(i)
                 item = (ident, start, ids[:n], total, loss_from)
                 self._put((ident, start + n, ids[n:], total, loss_from))
             else:
                 break
-            ident, start, ids, total, loss_from = item
-            left -= (len(ids), 1, max(0, start + len(ids) - max(start, loss_from)))
+            _, start, ids, _, loss_from = item
+            left -= len(ids)
+            loss_left -= max(0, start + len(ids) - max(start, loss_from))
             out.append(item[:4])
         return out
 
@@ -117,16 +134,18 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     prompt_col: str | None = None,
+    prompt_lines: int = 0,
     end_id: int = 0,
     capacity: int = 1024,
     max_segments: int = 256,
     max_loss: int = 1024,
-    pool: int = 1024,
+    pool: int = 256,
     min_piece: int = 8,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, n_loss, ids (little-endian unsigned 32-bit).
 
-    An example is the ids of prompt_col (if given), then those of text_col, then end_id; prompt tokens bear no loss. Null or
+    An example is the ids of prompt_col (if given), then those of text_col, then end_id; prompt tokens bear no loss. The first
+    prompt_lines lines of a longer text are prompt as well: as many tokens as they have by themselves. Null or
     empty texts are end_id alone. Every id lies in exactly one piece; longer examples than a sequence are cut, and so are
     pieces where a rest of min_piece or more would be padding. Pieces lie in a sequence without gaps from offset 0. The last sequence
     of a task may be short. sequence_id holds the task's partition and a count, so a task that runs again gives the same
@@ -161,7 +180,8 @@ def pack_documents(
             for k, (ident, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 head = token_ids(prompts[k], ranks_path, pattern) if prompts and prompts[k] else []
                 ids = np.array([*head, *(token_ids(text, ranks_path, pattern) if text else []), end_id], dtype="<u4")
-                for done in packer.add((ident, len(head)), ids, len(head)):
+                free = len(head) + (len(token_ids(first, ranks_path, pattern)) if text and (first := first_lines(text, prompt_lines)) else 0)
+                for done in packer.add((ident, free), ids, free):
                     place(done)
                 if len(rows) >= 2000:
                     yield flush()
