@@ -64,10 +64,12 @@ def _urls() -> str:
     host, path = parts
     rest = lambda u: f"regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
     key = lambda u: f"CASE WHEN instr({u}, '://') > 0 THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
-    tag = lambda outer, inner: f"regexp_extract(regexp_extract(html, {_text(outer)}), {_text(inner)}, 1)"
-    return f"""WITH RECURSIVE p AS (SELECT page_id, html, url, CASE WHEN instr(url, '://') > 0 THEN {host("url")} ELSE '' END AS host, CASE WHEN instr(url, '://') > 0 THEN {path("url")} ELSE '' END AS path, {key("url")} AS k FROM pages),
-    t AS (SELECT host, k, unnest([{tag(U.LINK, U.HREF)}, {tag(U.REFRESH, U.TARGET)}]) AS target FROM p),
-    a AS (SELECT k AS u, CASE WHEN starts_with(target, '/') THEN 'http://' || host || target ELSE target END AS target FROM t WHERE target <> ''),
+    tags = lambda outer, inner: f"list_transform(regexp_extract_all(html, {_text(outer)}), lambda x: regexp_extract(x, {_text(inner)}, 1))"
+    return rf"""WITH RECURSIVE p AS (SELECT page_id, html, url, CASE WHEN instr(url, '://') > 0 THEN {host("url")} ELSE '' END AS host, CASE WHEN instr(url, '://') > 0 THEN {path("url")} ELSE '' END AS path, {key("url")} AS k FROM pages),
+    t0 AS (SELECT host, path, k, regexp_replace(unnest(list_concat({tags(U.LINK, U.HREF)}, {tags(U.REFRESH, U.TARGET)})), '^(\./)+', '') AS t FROM p),
+    t AS (SELECT host, path, k, t FROM t0 WHERE t <> '' AND NOT starts_with(t, '#') AND NOT regexp_matches(t, '(^|/)\.\.?(/|$)') AND (NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://'))),
+    a AS (SELECT k AS u, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t
+      WHEN starts_with(t, '?') THEN 'http://' || host || CASE WHEN path = '' THEN '/' ELSE path END || t ELSE 'http://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || t END AS target FROM t),
     e0 AS (SELECT u, {key("target")} AS v FROM a), e AS (SELECT u, v FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e0 WHERE u IS NOT NULL AND v IS NOT NULL),
     r AS (SELECT u AS n, u AS m FROM e UNION SELECT r.n, e.v FROM r JOIN e ON r.m = e.u),
     f AS (SELECT n, min(m) AS component, bool_or(coalesce(CASE {fits("translate(regexp_extract(m, '^[^/?#]*'), " + LOWER + ")", "regexp_extract(m, '^[^/?#]*([^?#]*)', 1)")} END, '') LIKE 'block%') AS blocked FROM r GROUP BY n),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import connected_components
+from watchloom.llm.storage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,15 +61,34 @@ REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
-def page_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(u, v) from each page to the urls that its canonical link and its refresh redirect name; relative paths stay on the host."""
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(F.col(html_col), LINK, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(F.col(html_col), REFRESH, 0), TARGET, 1),
+#: Targets that name no other page: fragments, schemes without //, and paths with dot segments.
+NO_PAGE = r"\A#|\A[A-Za-z][A-Za-z0-9+.\-]*:(?!//)|(?:\A|/)\.\.?(?:/|\z)"
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute url of a target named by the page at url; null where it names no page."""
+    target = F.regexp_replace(target, r"\A(?:\./)+", "")
+    host, path = split_url(url)
+    there = F.concat(F.lit("http://"), host)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"\A.*/", 0))
+    return (
+        F.when(target.rlike(NO_PAGE) | (target == ""), None)
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(there, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(there, F.when(path == "", "/").otherwise(path), target))
+        .otherwise(F.concat(there, folder, target))
     )
-    linked = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("_url"), F.explode(tags).alias("_to")).where("_to <> ''")
-    absolute = F.when(F.startswith("_to", F.lit("/")), F.concat(F.lit("http://"), split_url(F.col("_url"))[0], F.col("_to"))).otherwise(F.col("_to"))
-    return linked.select(alias_key(F.col("_url")).alias("u"), alias_key(absolute).alias("v"))
+
+
+def page_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(u, v) from each page to the urls that its canonical links and its refresh redirects name, relative ones resolved against the page's url."""
+    html = F.col(html_col)
+    named = lambda tag, at: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
+    tags = F.concat(named(LINK, HREF), named(REFRESH, TARGET))
+    linked = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("_url"), F.explode(tags).alias("_to")).where("_to <> ''")
+    edges = linked.select(alias_key(F.col("_url")).alias("u"), alias_key(resolved(F.col("_to"), F.col("_url"))).alias("v"))
+    return edges.where("u is not null and v is not null")
 
 
 def judge_urls(
@@ -83,10 +103,12 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, component (the least alias key of its component; null if no edge).
 
-    edges: further (u, v) url pairs, such as a crawler's redirect log; null html or urls make no edge.
+    edges: further (u, v) url pairs, such as a crawler's redirect log; null html or urls make no edge, and neither do targets that are
+    fragments, other schemes than those with ://, or paths with dot segments. All canonical links and refreshes of a page count.
     A component is blocked if a rule blocks any url in it, be that url a page or only a link's target. Pages without
     a rule get their component's decision, others the default. A url that is null or has no :// has an
-    empty host and path, fits no rule and gets the default. Repeated urls are judged alike; other columns are ignored.
+    empty host and path, fits no rule and gets the default. Of rules equally long allow goes first, then the name decides. Repeated
+    rows and urls are judged alike; html is read whole; an empty table gives an empty table; other columns are ignored.
     """
     host, path = split_url(F.col(url_col))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), alias_key(F.col(url_col)).alias("_key"))
@@ -97,6 +119,7 @@ def judge_urls(
         links = links.union(more) if links is not None else more
     found = None
     if links is not None:
+        links = cut(links)  # the pages are scanned once
         # node keys are 64-bit hashes while components are sought: fixed width whatever the urls' length
         known = links.select(F.explode(F.array("u", "v")).alias("key")).where("key is not null").distinct()
         tied = connected_components(links.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
@@ -107,6 +130,7 @@ def judge_urls(
     if found is None:
         judged = judged.withColumn("component", F.lit(None).cast("string")).withColumn("_blocked", F.lit(False))
     else:
-        judged = judged.join(found, "_key", "left")
+        # pages without a key or a link don't meet in one task: they have no row to join
+        judged = judged.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))).join(found, "_key", "left")
     method = F.when(F.col("_blocked"), "block").otherwise(default)
     return judged.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), "component")
