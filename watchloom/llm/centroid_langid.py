@@ -34,7 +34,7 @@ class CentroidModel:
 def gram_counts(texts: list[str | None], dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each run of texts of bounded size: counts of hashed grams, one row per text; and which texts hold a letter.
 
-    Letters are lower-cased, every run of other characters is one space.
+    Letters are lower-cased, every run of other characters after a letter is one space.
     """
     bits = np.uint32(32 - int(dims - 1).bit_length())
 
@@ -45,7 +45,8 @@ def gram_counts(texts: list[str | None], dims: int) -> Iterator[tuple[np.ndarray
         doc = np.cumsum(flat == 0)
         letter = _letters(flat)
         has = np.bincount(doc[letter], minlength=n)[:n] > 0 if len(flat) else np.zeros(n, bool)
-        keep = letter | np.concatenate(([True], letter[:-1])) if len(flat) else letter
+        keep = letter.copy()
+        keep[1:] |= letter[:-1] & (doc[1:] == doc[:-1])  # the first of other characters after a letter of the same text
         c, doc = np.where(letter, flat, 32)[keep].astype(np.uint32), doc[keep]
         out = np.zeros(n * dims, dtype=np.float32)
         gram = np.zeros(len(c), dtype=np.uint32)
@@ -102,6 +103,23 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _idf(texts: DataFrame, dims: int) -> np.ndarray:
+    """log((1 + n) / (1 + df)) + 1 for each gram, over all texts with a letter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(dims + 1, dtype=np.int64)  # the last one counts texts
+        for b in batches:
+            for counts, has in gram_counts(b.column(0).to_pylist(), dims):
+                df[:dims] += (counts[has] > 0).sum(axis=0)
+                df[dims] += has.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(df)], names=["gram", "df"])
+
+    got = texts.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(dims + 1, dtype=np.int64)
+    df[got["gram"].to_numpy()] = got["df"].to_numpy()
+    return (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)
+
+
 def fit_centroids(
     labelled: DataFrame,
     *,
@@ -117,8 +135,9 @@ def fit_centroids(
 ) -> CentroidModel:
     """Learns from at most per_lang rows of each language and max_rows in all, those of the least seeded hash of their ids.
 
-    IDF is that of the sample. A centroid accepts cosines down to the reject_share quantile of its own members'. Rows without
-    a language, or without a letter, teach nothing; without any row left the model knows no language.
+    IDF is that of all rows with a language and a letter, counted in each task and summed: dims numbers a task. A centroid accepts cosines down to the reject_share quantile of its own members'. Rows without
+    a language, or without a letter, teach nothing; without any row left the model knows no language. Rows of equal hash go by id;
+    rows that repeat a chosen id all teach; texts are read whole.
     """
     order = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = labelled.where(F.col(lang_col).isNotNull()).select(order.alias("o"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
@@ -141,8 +160,7 @@ def fit_centroids(
     got = sample.mapInArrow(vectors, "lang string, v binary, has boolean, id string").where("has").orderBy("lang", "id").toArrow()
     lang = np.array(got["lang"].to_pylist(), dtype=object)
     counts = np.frombuffer(b"".join(got["v"].to_pylist()), dtype="<u2").reshape(-1, dims)
-    df = (counts > 0).sum(axis=0)
-    idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
+    idf = _idf(labelled.where(F.col(lang_col).isNotNull()).select(text_col), dims)
     centroids, langs, reach = [np.zeros((0, dims), np.float32)], [], []
     for name in sorted(set(lang)):
         x = _weighted(counts[lang == name].astype(np.float32), idf)
