@@ -2,17 +2,18 @@
 
 Frames are rows (stream_id, frame_index, ...). Every operator partitions by stream_id, so streams run in parallel
 and a plan of several operators shuffles once. Lag, gap and run rules are window functions; only rules where a
-row's outcome hangs on the outcome of the row before it (suppression, background) fold over an ordered array.
+row's outcome hangs on the outcome of the row before it (suppression, background) fold over ordered batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from watchloom.functions import scalars as S
+from watchloom.operators.folds import fold
 
 
 def by() -> WindowSpec:
@@ -181,16 +182,26 @@ def spikes_raw(frames: DataFrame, rms_z: float, delta_z: float) -> DataFrame:
 def suppress_close(hits: DataFrame, min_gap: int) -> DataFrame:
     """Keeps a hit if it lies at least min_gap frames after the last one kept: an ordered fold over one stream's hits."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for f in pdf["frame_index"].sort_values():
-            if last is None or f - last >= min_gap:
-                kept.append(f)
-                last = f
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[: len(kept)].to_numpy(), "frame_index": kept})
-
     kind = hits.schema["stream_id"].dataType.simpleString()
-    return hits.select("stream_id", "frame_index").groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_index bigint")
+    rows = hits.select("stream_id", F.col("frame_index").cast("long").alias("frame_index"))
+    return fold(rows, "stream_id", ["frame_index"], lambda: _Apart(min_gap), f"stream_id {kind}, frame_index bigint")
+
+
+class _Apart:
+    def __init__(self, min_gap: int):
+        self.min_gap, self.last = min_gap, None
+
+    def step(self, part: pa.RecordBatch) -> dict:
+        keep = []
+        for f in part.column("frame_index").to_pylist():
+            keep.append(self.last is None or f - self.last >= self.min_gap)
+            if keep[-1]:
+                self.last = f
+        mask = pa.array(keep, pa.bool_())
+        return {c: part.column(c).filter(mask) for c in ("stream_id", "frame_index")}
+
+    def finish(self) -> None:
+        return None
 
 
 # --- night mode --------------------------------------------------------------------------------------
@@ -244,17 +255,25 @@ def running_background(frames: DataFrame, value: str, alpha: float) -> DataFrame
     bg = (1 - alpha) * bg + alpha * x folds over the stream's ordered values; the first frame sets it.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        x = pdf["x"].to_numpy(dtype=float)
-        bg, now = np.empty(len(x)), x[0]
+    kind = frames.schema["stream_id"].dataType.simpleString()
+    rows = frames.select("stream_id", F.col("frame_index").cast("long").alias("frame_index"), F.col(value).cast("double").alias("x"))
+    return fold(rows, "stream_id", ["frame_index"], lambda: _Background(alpha), f"stream_id {kind}, frame_index bigint, bg double, diff double")
+
+
+class _Background:
+    def __init__(self, alpha: float):
+        self.alpha, self.now = alpha, None
+
+    def step(self, part: pa.RecordBatch) -> dict:
+        x = part.column("x").to_numpy(zero_copy_only=False)
+        bg = np.empty(len(x))
         for i, v in enumerate(x):
-            now = v if i == 0 else (1 - alpha) * now + alpha * v
-            bg[i] = now
-        return pd.DataFrame({"stream_id": pdf["stream_id"].to_numpy(), "frame_index": pdf["frame_index"].to_numpy(), "bg": bg, "diff": np.abs(x - bg)})
+            self.now = v if self.now is None else (1 - self.alpha) * self.now + self.alpha * v
+            bg[i] = self.now
+        return {"stream_id": part.column("stream_id"), "frame_index": part.column("frame_index"), "bg": pa.array(bg), "diff": pa.array(np.abs(x - bg))}
 
-    kind = frames.schema["stream_id"].dataType.simpleString()
-    return frames.select("stream_id", "frame_index", F.col(value).cast("double").alias("x")).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_index bigint, bg double, diff double")
+    def finish(self) -> None:
+        return None
 
 
 def motion_summary(frames: DataFrame) -> DataFrame:

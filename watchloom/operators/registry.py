@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from watchloom.functions import vectors as V
+from watchloom.operators.folds import fold
 
 
 def in_site(rows: DataFrame, site_id) -> DataFrame:
@@ -119,7 +122,36 @@ def similar_pairs(centroids: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, "site_id").where("a < b").select("site_id", "a", "b", V.dot(F.col("_x"), F.col("_y")).alias("score")).where(F.col("score") >= threshold)
 
 
-# --- ordered folds: one site in one task, rows in id order -----------------------------------------------
+# --- ordered folds: a site's rows in id order, batch by batch ----------------------------------------------
+
+
+class Centroids:
+    """Running centroids of length 1: a vector joins the most similar one, if that is similar enough, else it founds one."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.sums = np.empty((0, 0))  # room for more rows than are in use
+        self.sizes: list[int] = []
+
+    @property
+    def centres(self) -> np.ndarray:
+        return self.sums[: len(self.sizes)]
+
+    def join(self, v: np.ndarray) -> int:
+        """The number of the centroid that takes v."""
+        likeness = self.centres @ v if self.sizes else np.empty(0)
+        at = int(likeness.argmax()) if len(likeness) else -1
+        if at < 0 or likeness[at] < self.threshold:
+            at = len(self.sizes)
+            if at == len(self.sums):
+                self.sums = np.vstack([self.sums.reshape(-1, len(v)), np.zeros((max(8, at), len(v)))])
+            self.sums[at] = v
+            self.sizes.append(1)
+        else:
+            # the direction of the mean is all that counts, so the weighted sum needs no division by the size
+            self.sums[at] = _unit(self.sizes[at] * self.sums[at] + v)
+            self.sizes[at] += 1
+        return at
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -127,51 +159,104 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / n if n > 0 else v
 
 
-def lead_clusters(vectors: np.ndarray, threshold: float) -> tuple[list[list[int]], list[np.ndarray]]:
-    """Each vector joins the most similar centroid if that is similar enough, else starts one; centroids are running means of length 1."""
-    members: list[list[int]] = []
-    centres: list[np.ndarray] = []
-    for i, v in enumerate(vectors):
-        best = int(np.argmax(np.stack(centres) @ v)) if centres else -1
-        if best >= 0 and float(centres[best] @ v) >= threshold:
-            n = len(members[best])
-            centres[best] = _unit((centres[best] * n + v) / (n + 1))
-            members[best].append(i)
-        else:
-            centres.append(v.copy())
-            members.append([i])
-    return members, centres
-
-
-def agglomerate(members: list[list[int]], centres: list[np.ndarray], threshold: float) -> list[list[int]]:
-    """Merges the most similar pair of clusters again and again, while it is similar enough."""
-    members, c = [list(m) for m in members], np.array(centres)
-    while len(members) > 1:
-        sim = c @ c.T
-        np.fill_diagonal(sim, -1.0)
-        i, j = sorted(divmod(int(np.argmax(sim)), len(c)))
-        if sim[i, j] < threshold:
+def lead_clusters(vectors: np.ndarray, threshold: float) -> tuple[list[list[int]], np.ndarray]:
+    """Positions of each cluster's vectors, and the centroids."""
+    c = Centroids(threshold)
+    label = np.array([c.join(v) for v in vectors], dtype=int)
+    return [np.flatnonzero(label == i).tolist() for i in range(len(c.sizes))], c.centres.copy()
+
+
+def merged_groups(sizes: np.ndarray, centres: np.ndarray, threshold: float) -> np.ndarray:
+    """For each centroid the number of the group that it ends in, when the most similar pair of groups merges while it is similar enough.
+
+    Each group remembers its most similar partner. A merge changes one row of similarities, and only groups whose partner was one of
+    the two look for a new one, so all merges together take time in proportion to the square of the number of centroids, if few do.
+    """
+    n = len(centres)
+    group, weight, c = np.arange(n), np.array(sizes, dtype=float), np.array(centres, dtype=float)
+    like = c @ c.T
+    np.fill_diagonal(like, -np.inf)
+    partner = like.argmax(axis=1) if n > 1 else np.zeros(n, dtype=int)
+    peak = like[np.arange(n), partner]
+    while n > 1:
+        i = int(peak.argmax())
+        j = int(partner[i])
+        if not peak[i] >= threshold:
             break
-        ni, nj = len(members[i]), len(members[j])
-        c[i] = _unit((c[i] * ni + c[j] * nj) / (ni + nj))
-        members[i] += members.pop(j)
-        c = np.delete(c, j, axis=0)
-    return members
+        i, j = min(i, j), max(i, j)
+        c[i] = _unit(weight[i] * c[i] + weight[j] * c[j])
+        weight[i] += weight[j]
+        group[group == j] = i
+        like[j, :] = like[:, j] = -np.inf
+        row = c @ c[i]
+        row[[i, j]] = -np.inf
+        row[~np.isfinite(like[i])] = -np.inf
+        like[i, :] = like[:, i] = row
+        # who lost its partner looks again; the others only compare the changed one with the partner they have
+        for r in np.flatnonzero(((partner == i) | (partner == j)) & np.isfinite(peak)).tolist() + [i, j]:
+            partner[r] = like[r].argmax()
+            peak[r] = like[r, partner[r]]
+        better = (row > peak) | ((row == peak) & (i < partner) & np.isfinite(row))
+        partner[better], peak[better] = i, row[better]
+        n -= 1
+    return group
+
+
+def agglomerate(members: list[list[int]], centres: np.ndarray, threshold: float) -> list[list[int]]:
+    """The members of the merged groups, in the order of their first centroid."""
+    group = merged_groups(np.array([len(m) for m in members]), np.asarray(centres), threshold)
+    return [[p for k in np.flatnonzero(group == g) for p in members[k]] for g in np.unique(group)]
+
+
+class _Lead:
+    """Labels a site's rows as they come; its centroids follow at the end, as rows without an id."""
+
+    def __init__(self, threshold: float, ids: pa.DataType):
+        self.centroids, self.ids, self.site = Centroids(threshold), ids, None
+
+    def step(self, part: pa.RecordBatch) -> dict:
+        self.site = part.column("site_id").slice(0, 1)
+        labels = [self.centroids.join(np.asarray(v, dtype=np.float64)) for v in part.column("embedding").to_pylist()]
+        none = pa.nulls(len(labels))
+        return {"site_id": part.column("site_id"), "id": part.column("id"), "leader": pa.array(labels, pa.int64()), "size": none.cast(pa.int64()), "centre": none.cast(pa.list_(pa.float64()))}
+
+    def finish(self) -> dict:
+        n = len(self.centroids.sizes)
+        return {
+            "site_id": pa.concat_arrays([self.site] * n),
+            "id": pa.nulls(n, self.ids),
+            "leader": pa.array(range(n), pa.int64()),
+            "size": pa.array(self.centroids.sizes, pa.int64()),
+            "centre": pa.array(self.centroids.centres.tolist(), pa.list_(pa.float64())),
+        }
 
 
 def cluster_sites(rows: DataFrame, threshold: float, merge: bool = True) -> DataFrame:
-    """(site_id, id, cluster): clusters are named by their smallest id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        groups, centres = lead_clusters(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), threshold)
-        groups = agglomerate(groups, centres, threshold) if merge else groups
-        out = [(pdf["site_id"].iloc[0], ids[i], min(ids[m] for m in g)) for g in groups for i in g]
-        return pd.DataFrame(out, columns=["site_id", "id", "cluster"])
+    """(site_id, id, cluster): clusters are named by their smallest id.
 
+    A task holds a site's centroids and one batch of its rows; merging sees the centroids only.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select("site_id", "id", "embedding").groupBy("site_id").applyInPandas(run, f"site_id {kinds['site_id']}, id {kinds['id']}, cluster {kinds['id']}")
+    arrow = to_arrow_type(rows.schema["id"].dataType)
+    schema = f"site_id {kinds['site_id']}, id {kinds['id']}, leader bigint, size bigint, centre array<double>"
+    led = fold(rows.select("site_id", "id", "embedding"), "site_id", ["id"], lambda: _Lead(threshold, arrow), schema)
+    labels = led.where("id is not null").select("site_id", "id", "leader")
+    if merge:
+
+        def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("leader")
+            return pd.DataFrame({"site_id": pdf["site_id"], "leader": pdf["leader"], "group": merged_groups(pdf["size"].to_numpy(), np.stack(pdf["centre"].to_numpy()), threshold)})
+
+        groups = led.where("id is null").groupBy("site_id").applyInPandas(merged, f"site_id {kinds['site_id']}, leader bigint, group bigint")
+        labels = labels.join(groups, ["site_id", "leader"]).select("site_id", "id", F.col("group").alias("leader"))
+    least = labels.groupBy("site_id", "leader").agg(F.min("id").alias("cluster"))
+    return labels.join(least, ["site_id", "leader"]).select("site_id", "id", "cluster")
+
+
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """(site_id, cluster, size), the largest of a site first; of equal ones the smaller name."""
+    sizes = clusters.groupBy("site_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.orderBy("site_id", F.col("size").desc(), "cluster")
 
 
 def reconcile(clusters: DataFrame, rows: DataFrame) -> DataFrame:
@@ -199,22 +284,43 @@ def dedup_online(candidates: DataFrame, stored: DataFrame, threshold: float) ->
     hits = nearest(candidates, stored, k=1, threshold=threshold).select(F.col("query_id").alias("id"), F.lit(True).alias("_hit"))
     a = candidates.select("site_id", "id", "embedding").join(hits, "id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        cache, gates = np.zeros((0, len(pdf["embedding"].iloc[0]))), []
-        for v, hit in zip(pdf["embedding"], pdf["_hit"]):
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    return fold(a.select("site_id", "id", "embedding", "_hit"), "site_id", ["id"], lambda: _Gate(threshold), f"site_id {kinds['site_id']}, id {kinds['id']}, gate string")
+
+
+class _Gate:
+    """Holds a site's accepted vectors."""
+
+    def __init__(self, threshold: float):
+        self.accepted = Accepted(threshold)
+
+    def step(self, part: pa.RecordBatch) -> dict:
+        gates = []
+        for v, hit in zip(part.column("embedding").to_pylist(), part.column("_hit").to_pylist()):
             v = np.asarray(v, dtype=np.float64)
-            if len(cache) and float((cache @ v).max()) >= threshold:
-                gates.append("cache")
-            elif hit:
-                gates.append("stored")
-            else:
-                gates.append("accepted")
-                cache = np.vstack([cache, v])
-        return pd.DataFrame({"site_id": pdf["site_id"], "id": pdf["id"], "gate": gates})
+            gates.append("cache" if self.accepted.like(v) else "stored" if hit else "accepted")
+            if gates[-1] == "accepted":
+                self.accepted.add(v)
+        return {"site_id": part.column("site_id"), "id": part.column("id"), "gate": pa.array(gates, pa.string())}
 
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    return a.groupBy("site_id").applyInPandas(run, f"site_id {kinds['site_id']}, id {kinds['id']}, gate string")
+    def finish(self) -> None:
+        return None
+
+
+class Accepted:
+    """Vectors in one growing matrix."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.rows, self.n = threshold, np.empty((0, 0)), 0
+
+    def like(self, v: np.ndarray) -> bool:
+        return self.n > 0 and float((self.rows[: self.n] @ v).max()) >= self.threshold
+
+    def add(self, v: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.vstack([self.rows.reshape(-1, len(v)), np.zeros((max(8, self.n), len(v)))])
+        self.rows[self.n] = v
+        self.n += 1
 
 
 # --- quality ---------------------------------------------------------------------------------------------

@@ -12,9 +12,13 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from watchloom.operators.folds import fold
+
 CHUNK = "stream_id bigint, chunk_index int, start_frame bigint, end_frame bigint, frame_count bigint, last_class int, last_confidence double"
 
 
@@ -52,7 +56,8 @@ class Cluster:
 
     def step(self, s: ClusterSettings, frame: int, class_id: int, confidence: float, motion: bool = False) -> Iterator[tuple]:
         """Takes a frame, yields the chunk that it closes."""
-        self.frames = [*self.frames, frame][-s.capacity :]
+        self.frames.append(frame)
+        del self.frames[: -s.capacity]
         if s.night:
             if motion:
                 self._extend(s, frame)
@@ -95,14 +100,39 @@ def event_clusters(frames: DataFrame, s: ClusterSettings) -> DataFrame:
     """Chunks of stored frames (stream_id, frame_index, class_id, confidence[, motion]); the open cluster ends with the stream."""
     columns = ["stream_id", "frame_index", "class_id", "confidence", *(["motion"] if "motion" in frames.columns else [])]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, c, out = pdf.sort_values("frame_index"), Cluster(), []
-        for r in pdf.itertuples():
-            out += c.step(s, r.frame_index, r.class_id, r.confidence, getattr(r, "motion", False))
-        out += c.flush(until=int(pdf["frame_index"].iloc[-1]))
-        return _rows(pdf["stream_id"].iloc[0], out)
+    return fold(frames.select(F.col("stream_id").cast("long").alias("stream_id"), *columns[1:]), "stream_id", ["frame_index"], lambda: _Stored(s), CHUNK)
+
 
-    return frames.select(*columns).groupBy("stream_id").applyInPandas(run, CHUNK)
+class _Stored:
+    """Feeds the state machine from batches of one stream's frames."""
+
+    def __init__(self, settings: ClusterSettings):
+        self.settings, self.cluster, self.stream, self.last = settings, Cluster(), None, None
+
+    def step(self, part: pa.RecordBatch) -> dict | None:
+        columns = [part.column(c).to_pylist() for c in ("frame_index", "class_id", "confidence")]
+        motion = part.column("motion").to_pylist() if "motion" in part.schema.names else [False] * part.num_rows
+        self.stream, self.last, out = part.column("stream_id")[0].as_py(), columns[0][-1], []
+        for frame, class_id, confidence, moves in zip(*columns, motion):
+            out += self.cluster.step(self.settings, frame, class_id, confidence, moves)
+        return self._columns(out)
+
+    def finish(self) -> dict | None:
+        return self._columns(list(self.cluster.flush(until=self.last)))
+
+    def _columns(self, chunks: list[tuple]) -> dict | None:
+        if not chunks:
+            return None
+        stream, index, start, end, n, class_id, confidence = zip(*[(self.stream, *c) for c in chunks])
+        return {
+            "stream_id": pa.array(stream, pa.int64()),
+            "chunk_index": pa.array(index, pa.int32()),
+            "start_frame": pa.array(start, pa.int64()),
+            "end_frame": pa.array(end, pa.int64()),
+            "frame_count": pa.array(n, pa.int64()),
+            "last_class": pa.array(class_id, pa.int32()),
+            "last_confidence": pa.array(confidence, pa.float64()),
+        }
 
 
 class ClusterProcessor(StatefulProcessor):
@@ -142,7 +172,5 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql
 
 def tumbling_chunks(frames: DataFrame, seconds: int, late: str = "10 seconds") -> DataFrame:
     """Event-time chunks for streams with timestamps: counts and bounds per window; later rows than the watermark are dropped."""
-    from pyspark.sql import functions as F
-
     w = F.window("ts", f"{seconds} seconds")
     return frames.withWatermark("ts", late).groupBy("stream_id", w).agg(F.count(F.lit(1)).alias("frame_count"), F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
