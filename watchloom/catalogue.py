@@ -191,7 +191,10 @@ def clip_motion(spark, d):
     return O.clip_motion(frames(spark, d), "energy", 8).select("stream_id", "frame_index", r6("energy"))
 
 
-@query()
+@query(f"""WITH {SCORED}, c AS (SELECT stream_id, frame_index, last_frame, list(energy) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS l FROM scored),
+ p AS (SELECT *, list_concat(list_transform(range(8 - len(l)), lambda i: l[1]), l) AS c FROM c WHERE frame_index % 4 = 0 OR frame_index = last_frame),
+ e AS (SELECT stream_id, frame_index, list_avg(list_transform(range(1, 8), lambda i: abs(c[i + 1] - c[i]))) AS energy, list_avg(c) AS edge FROM p), k AS (SELECT *, CAST(2 * (energy > 8)::INTEGER + (edge > 12)::INTEGER AS INTEGER) AS class_id FROM e)
+ SELECT stream_id, frame_index, class_id, round(least(1.0, 0.5 + energy / 40.0), 6) AS confidence, ['static_low','static_high','motion_low','motion_high'][class_id + 1] AS top_label FROM k""")
 def predict_clips(spark, d):
     a = P.predict_clips(O.sample_stride(O.clip_windows(frames(spark, d), "energy", 8), STRIDE), P.backend("motion"))
     return a.select("stream_id", "frame_index", "prediction.class_id", F.round("prediction.confidence", 6).alias("confidence"), "prediction.top_label")
@@ -234,12 +237,12 @@ def audio_union_keep(spark, d):
 
 
 @query("""WITH s AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value / 500 AS x FROM events),
- b AS (SELECT stream_id, i // 3 AS frame_index, sqrt(avg(x * x)) AS rms FROM s GROUP BY ALL), f AS (SELECT stream_id, unnest(range(40)) AS frame_index FROM (SELECT DISTINCT stream_id FROM s))
+ b AS (SELECT stream_id, i // 3 AS frame_index, sqrt(avg(x * x)) AS rms FROM s GROUP BY ALL), f AS (SELECT stream_id, unnest(range(greatest(40, CAST(ceil(count(*) / 3) AS BIGINT)))) AS frame_index FROM s GROUP BY stream_id)
  SELECT stream_id, CAST(frame_index AS BIGINT) AS frame_index, round(coalesce(rms, 0.0), 6) AS rms FROM f LEFT JOIN b USING (stream_id, frame_index)""")
 def rms_buckets(spark, d):
     f = frames(spark, d)
     samples = f.select("stream_id", F.col("frame_index").alias("sample_index"), (F.col("rms") / 500).alias("x"))
-    # 40 frames, as the SQL has, or as many as the stream's own samples fill at 3 a frame
+    # 40 frames, or as many as the stream's own samples fill at 3 a frame
     last = F.greatest(F.lit(40).cast("long"), F.ceil(F.col("total") / 3)) - 1
     spine = O.stream_lengths(f).select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("frame_index"))
     return O.rms_buckets(samples, spine, 80, 25.0).select("stream_id", "frame_index", r6("rms"))
@@ -403,11 +406,16 @@ def chunk_messages(spark, d):
     return a.select("stream_id", "chunk_index", m + "event_id", m + "camera_id", m + "metadata.path", m + "metadata.alert_level.sp", m + "start_timestamp", m + "end_timestamp", m + "event_metadata.frame_count", F.col(m + "event_metadata.frames_sidecar").alias("sidecar"), F.col(m + "event_metadata.first_frame.frame_id").alias("first_id"), F.col(m + "event_metadata.last_frame.frame_id").alias("last_id"))
 
 
-@query(f"WITH {RECORDS} SELECT count(*) AS messages, CAST(sum(frame_count) AS BIGINT) AS frames, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks FROM ch")
+@query(f"""WITH {RECORDS} SELECT md5('run/event/' || chunk_id) AS event_id, chunk_id, 'cam-' || stream_id AS camera_id, '/assets/site/cam-' || stream_id || '/' || chunk_id || '.mp4' AS path, 'true' AS sp, start_timestamp, start_timestamp + duration_ms AS end_timestamp,
+ frame_count, '/assets/site/cam-' || stream_id || '/' || chunk_id || '_frames.json' AS sidecar, first_id, last_id, 'chunk_id,event_id' AS "keys" FROM ch""")
 def message_json(spark, d):
+    """Every message's content, read back from its JSON text; keys: that these two stand at the top level under their names."""
     values = C.message_json(C.chunk_messages(C.chunk_summary(_records(spark, d), CHUNKS), CHUNKS))
-    back = F.from_json("value", "chunk_id string, event_metadata struct<frame_count: long>")
-    return values.select(back.alias("m")).agg(F.count(F.lit(1)).alias("messages"), F.sum("m.event_metadata.frame_count").alias("frames"), F.countDistinct("m.chunk_id").alias("chunks"))
+    frame = "struct<frame_id: string>"
+    back = F.from_json("value", f"event_id string, chunk_id string, camera_id string, metadata struct<path: string, alert_level: struct<sp: string>>, start_timestamp long, end_timestamp long, event_metadata struct<frame_count: long, frames_sidecar: string, first_frame: {frame}, last_frame: {frame}>")
+    keys = F.array_join(F.array_sort(F.array_intersect(F.json_object_keys("value"), F.array(F.lit("event_id"), F.lit("chunk_id")))), ",")
+    a, e = values.select(back.alias("m"), keys.alias("keys")), "m.event_metadata."
+    return a.select("m.event_id", "m.chunk_id", "m.camera_id", "m.metadata.path", "m.metadata.alert_level.sp", "m.start_timestamp", "m.end_timestamp", e + "frame_count", F.col(e + "frames_sidecar").alias("sidecar"), F.col(e + "first_frame.frame_id").alias("first_id"), F.col(e + "last_frame.frame_id").alias("last_id"), "keys")
 
 
 @query(f"WITH {RECORDS} SELECT i.stream_id, fi AS filtered_index, coalesce(k.frame_index, fi) AS source_frame_number FROM idx i LEFT JOIN (SELECT * FROM idx WHERE frame_index % 3 <> 0) k USING (stream_id, fi)")
@@ -532,18 +540,23 @@ def prefix_match(spark, d):
     return a.select(F.col("id").cast("long").alias("id"))
 
 
-@query(f"WITH {SITE} SELECT a.site_id, a.id AS a, b.id AS b, round({DOT}, 5) AS score FROM site a JOIN site b ON a.site_id = b.site_id AND a.id < b.id WHERE a.id % 5 = 0 AND b.id % 5 = 0 AND {DOT} >= 0.25")
+@query(f"WITH {SITE} SELECT a.site_id, a.id AS a, b.id AS b, round({DOT}, 5) AS score FROM site a JOIN site b ON a.site_id = b.site_id AND a.id < b.id WHERE {DOT} >= 0.25")
 def centroid_pairs(spark, d):
-    return R.similar_pairs(site_rows(spark, d).where("id % 5 = 0"), 0.25).select("site_id", "a", "b", F.round("score", 5).alias("score"))
+    return R.similar_pairs(site_rows(spark, d), 0.25).select("site_id", "a", "b", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {SITE} SELECT a.site_id, a.id AS a, b.id AS b, round({DOT}, 5) AS score FROM site a JOIN site b ON a.site_id = b.site_id AND a.id < b.id WHERE {DOT} >= 0.25")
-def centroid_pairs_all(spark, d):
-    """centroid_pairs over all rows, not the fifth of them that its SQL takes."""
-    return R.similar_pairs(site_rows(spark, d), 0.25).select("site_id", "a", "b", F.round("score", 5).alias("score"))
+centroid_pairs_all = centroid_pairs  # once apart, when centroid_pairs took a fifth of the rows
 
 
-@query()
+ORDERED = SITE + """, o AS (SELECT site_id, id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY site_id ORDER BY id) AS r FROM site{where})"""
+
+
+@query(f"""WITH RECURSIVE {ORDERED.format(where="")}, k AS (SELECT site_id, r, [v] AS c, [1] AS n, [id] AS lo, id, 1 AS place FROM o WHERE r = 1
+ UNION ALL SELECT site_id, r, CASE WHEN new THEN list_append(c, v) ELSE list_transform(c, lambda z, i: CASE WHEN i = b THEN w ELSE z END) END,
+  CASE WHEN new THEN list_append(n, 1) ELSE list_transform(n, lambda z, i: CASE WHEN i = b THEN z + 1 ELSE z END) END, CASE WHEN new THEN list_append(lo, id) ELSE lo END, id, CASE WHEN new THEN len(n) + 1 ELSE b END
+  FROM (SELECT *, list_transform(u, lambda y: y / q) AS w FROM (SELECT *, sqrt(list_dot_product(u, u)) AS q FROM (SELECT *, list_transform(range(1, 65), lambda j: nb * cb[j] + v[j]) AS u FROM (SELECT *, n[b] AS nb, c[b] AS cb FROM (SELECT *, m < 0.35 AS new, list_position(s, m) AS b FROM (SELECT *, list_max(s) AS m
+   FROM (SELECT k.site_id, o.r, k.c, k.n, k.lo, o.id, o.v, list_transform(k.c, lambda z: list_dot_product(z, o.v)) AS s FROM k JOIN o ON o.site_id = k.site_id AND o.r = k.r + 1))))))))
+ SELECT site_id, id, lo[place] AS cluster FROM k""")
 def leader_clusters(spark, d):
     return R.cluster_sites(site_rows(spark, d), 0.35, merge=False)
 
@@ -553,6 +566,11 @@ def agglomerate(spark, d):
     return R.cluster_sites(site_rows(spark, d), 0.35)
 
 
+@query(f"WITH {SITE} SELECT site_id, id // 6 AS cluster, count(*) AS size FROM site GROUP BY ALL")
+def cluster_sizes(spark, d):
+    return R.cluster_sizes(site_rows(spark, d).select("site_id", F.floor(F.col("id") / 6).alias("cluster")))
+
+
 @query(f"""WITH {SITE}, c AS (SELECT *, id // 6 AS cluster FROM site), g AS (SELECT cluster, list(DISTINCT person_id) FILTER (person_id <> id) AS p, list(DISTINCT name) FILTER (name <> '') AS n, min(id) AS lo, site_id FROM c GROUP BY cluster, site_id)
  SELECT c.site_id, id, len(coalesce(p, [])) > 1 OR len(coalesce(n, [])) > 1 AS conflict, CASE WHEN len(coalesce(p, [])) > 1 OR len(coalesce(n, [])) > 1 THEN person_id ELSE coalesce(p[1], lo) END AS new_person_id,
  CASE WHEN len(coalesce(p, [])) > 1 OR len(coalesce(n, [])) > 1 THEN name ELSE coalesce(n[1], name) END AS new_name FROM c JOIN g ON c.cluster = g.cluster AND c.site_id = g.site_id""")
@@ -561,7 +579,13 @@ def cluster_reconcile(spark, d):
     return R.reconcile(rows.select("site_id", "id", F.floor(F.col("id") / 6).alias("cluster")), rows).select("site_id", "id", "conflict", "new_person_id", "new_name")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED.format(where=" WHERE id % 3 <> 0")}, old AS (SELECT site_id, CAST(embedding AS DOUBLE[]) AS v FROM site WHERE id % 3 = 0),
+ hit AS (SELECT o.site_id, o.id, max(list_dot_product(o.v, old.v)) >= 0.4 AS hit FROM o JOIN old USING (site_id) GROUP BY ALL),
+ k AS (SELECT site_id, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[][]) AS kept, CAST(NULL AS BIGINT) AS id, '' AS gate FROM o GROUP BY site_id
+ UNION ALL SELECT site_id, r, CASE WHEN gate = 'accepted' THEN list_append(kept, v) ELSE kept END, id, gate FROM (SELECT k.site_id, o.r, k.kept, o.v, o.id,
+  CASE WHEN len(list_filter(k.kept, lambda z: list_dot_product(z, o.v) >= 0.4)) > 0 THEN 'cache' WHEN coalesce(h.hit, false) THEN 'stored' ELSE 'accepted' END AS gate
+  FROM k JOIN o ON o.site_id = k.site_id AND o.r = k.r + 1 LEFT JOIN hit h ON h.site_id = o.site_id AND h.id = o.id))
+ SELECT site_id, id, gate FROM k WHERE r > 0""")
 def dedup_online(spark, d):
     rows = site_rows(spark, d)
     return R.dedup_online(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"), 0.4)
@@ -570,12 +594,23 @@ def dedup_online(spark, d):
 # --- tracking ------------------------------------------------------------------------------------------
 
 
-@query()
+def _nms_sql(rank: str) -> str:
+    """Boxes of a frame by falling rank, of equal ones the later first: each is kept that overlaps no kept one too much."""
+    w, h = "least(z.x2, o.x2) - greatest(z.x1, o.x1)", "least(z.y2, o.y2) - greatest(z.y1, o.y1)"
+    both = f"greatest(0.0, {w}) * greatest(0.0, {h})"
+    clash = f"len(list_filter(k.kept, lambda z: {both} / ((z.x2 - z.x1) * (z.y2 - z.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {both} + 1e-6) > 0.4)) > 0"
+    return f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY {rank} DESC, det DESC) AS r FROM boxes),
+ k AS (SELECT stream_id, frame_index, r, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept, det, true AS free FROM o WHERE r = 1
+ UNION ALL SELECT o.stream_id, o.frame_index, o.r, CASE WHEN {clash} THEN k.kept ELSE list_append(k.kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END, o.det, NOT ({clash})
+  FROM k JOIN o ON o.stream_id = k.stream_id AND o.frame_index = k.frame_index AND o.r = k.r + 1) SELECT stream_id, frame_index, det FROM k WHERE free"""
+
+
+@query(_nms_sql("score"))
 def nms(spark, d):
     return T.non_max_suppression(boxes(spark, d), 0.4).select("stream_id", "frame_index", "det")
 
 
-@query()
+@query(_nms_sql("(x2 - x1) * (y2 - y1)"))
 def nms_by_area(spark, d):
     return T.non_max_suppression(boxes(spark, d), 0.4, by="area").select("stream_id", "frame_index", "det")
 
@@ -610,10 +645,46 @@ def track_names(spark, d):
     return T.track_names(t, ["Ann", "Bob", "Cy"])
 
 
+# --- regions of night motion -----------------------------------------------------------------------------
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes as regions found on frames of half size; every fifth has no moments."""
+    w = F.col("x2") - F.col("x1")
+    a = boxes(spark, d).select("stream_id", "frame_index", F.col("det").alias("region"), F.floor("x1").alias("x"), F.floor("y1").alias("y"), F.floor(w).alias("w"), F.lit(20).alias("h"), (w * 20 * F.col("score")).alias("area"))
+    a = a.withColumn("m00", F.when(F.col("region") % 5 == 0, 0.0).otherwise(F.col("area")))
+    return a.withColumn("m10", F.col("m00") * (F.col("x") + F.col("w") / 2)).withColumn("m01", F.col("m00") * (F.col("y") + 10))
+
+
+REGIONS = BOXES + """, small AS (SELECT stream_id, frame_index, det AS region, CAST(floor(x1) AS BIGINT) AS x, CAST(floor(y1) AS BIGINT) AS y, CAST(floor(x2 - x1) AS BIGINT) AS w, 20 AS h, (x2 - x1) * 20 * score AS area, CASE WHEN det % 5 = 0 THEN 0.0 ELSE (x2 - x1) * 20 * score END AS m00 FROM boxes),
+ clip AS (SELECT *, least(x * 2, 159) AS fx, least(y * 2, 119) AS fy FROM small WHERE area >= 150), full_size AS (SELECT *, least(w * 2, 160 - fx) AS fw, least(h * 2, 120 - fy) AS fh, CAST(floor(area / 0.25) AS BIGINT) AS full_area FROM clip)"""
+
+
+@query(f"""WITH {REGIONS} SELECT stream_id, frame_index, region, fx AS x, fy AS y, fw AS w, fh AS h, full_area AS area, CAST(CASE WHEN m00 > 0 THEN floor(m00 * (x + w / 2) / m00 * 2) ELSE fx + fw // 2 END AS BIGINT) AS cx,
+ CAST(CASE WHEN m00 > 0 THEN floor(m00 * (y + 10) / m00 * 2) ELSE fy + fh // 2 END AS BIGINT) AS cy, CAST(row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY full_area DESC, region) AS INTEGER) AS rank FROM full_size""")
+def motion_regions(spark, d):
+    return O.motion_regions(regions(spark, d), 0.5, 160, 120, 150)
+
+
+@query(f"""WITH {FRAMES}, {REGIONS}, n AS (SELECT stream_id, frame_index, count(*) AS regions FROM full_size GROUP BY ALL)
+ SELECT f.stream_id, f.frame_index, coalesce(n.regions, 0) AS regions, f.edge / 100 >= 0.4 AND coalesce(n.regions, 0) > 0 AS over FROM frames f LEFT JOIN n ON n.stream_id = f.stream_id AND n.frame_index = f.frame_index""")
+def motion_over(spark, d):
+    f = frames(spark, d).withColumn("ratio", F.col("edge") / 100)
+    return O.motion_over(f, O.motion_regions(regions(spark, d), 0.5, 160, 120, 150), "ratio", 0.4).select("stream_id", "frame_index", "regions", "over")
+
+
 # --- live clusters and metrics ----------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, k AS (SELECT stream_id, CAST(-1 AS BIGINT) AS f, CAST(NULL AS INTEGER) AS lc, CAST(NULL AS DOUBLE) AS lp, CAST(NULL AS DOUBLE) AS qp, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, 0 AS chunks,
+  CAST(NULL AS BIGINT) AS ca, CAST(NULL AS BIGINT) AS cb FROM frames GROUP BY stream_id
+ UNION ALL SELECT stream_id, f, lc, lp, qp, CASE WHEN shut THEN NULL ELSE a END, CASE WHEN shut THEN NULL ELSE b END, chunks + shut::INTEGER, CASE WHEN shut THEN a END, CASE WHEN shut THEN b END FROM (SELECT *, a IS NOT NULL AND (f - a >= 10 OR f > b OR f = last_frame) AS shut
+  FROM (SELECT stream_id, f, last_frame, chunks, CASE WHEN looks THEN class_id ELSE lc END AS lc, CASE WHEN looks THEN confidence ELSE lp END AS lp, CASE WHEN looks AND NOT hit AND a IS NULL THEN confidence ELSE qp END AS qp,
+    CASE WHEN hit THEN least(coalesce(a, f), greatest(0, f - 5)) ELSE a END AS a, CASE WHEN hit THEN greatest(coalesce(b, 0), f + 5) ELSE b END AS b
+   FROM (SELECT k.stream_id, s.frame_index AS f, s.last_frame, s.class_id, s.confidence, k.lc, k.lp, k.qp, k.a, k.b, k.chunks, s.frame_index % 2 = 0 AS looks,
+     s.frame_index % 2 = 0 AND (k.lc IS NULL OR s.class_id <> k.lc OR greatest(abs(s.confidence - k.lp), abs(s.confidence - coalesce(k.qp, k.lp))) > 0.15) AS hit FROM k JOIN scored s ON s.stream_id = k.stream_id AND s.frame_index = k.f + 1))))
+ SELECT CAST(k.stream_id AS BIGINT) AS stream_id, chunks - 1 AS chunk_index, ca AS start_frame, CASE WHEN f = l.last_frame AND NOT (f - ca >= 10 OR f > cb) THEN f ELSE cb END AS end_frame, least(cb, f) - ca + 1 AS frame_count, lc AS last_class, lp AS last_confidence
+ FROM k JOIN (SELECT stream_id, max(frame_index) AS last_frame FROM frames GROUP BY stream_id) l USING (stream_id) WHERE ca IS NOT NULL""")
 def event_clusters(spark, d):
     return K.event_clusters(O.score_motion(frames(spark, d)), K.ClusterSettings(fps=5.0, seconds=2.0, stride=2))
 

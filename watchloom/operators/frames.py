@@ -276,6 +276,30 @@ class _Background:
         return None
 
 
+def motion_regions(regions: DataFrame, scale: float, width: int, height: int, min_area: float) -> DataFrame:
+    """Regions (stream_id, frame_index, region, x, y, w, h, area, m00, m10, m01) found on frames shrunk by scale, in full-frame terms.
+
+    Regions under min_area, as found, are dropped; boxes stay inside the frame; cx, cy come from the moments, or from the box where m00 is 0;
+    rank numbers a frame's regions by falling area, ties by region.
+    """
+    back = 1.0 / scale
+    cut = lambda c: F.floor(c).cast("long")
+    a = regions.where(F.col("area") >= min_area)
+    a = a.withColumn("fx", F.least(cut(F.col("x") * back), F.lit(width - 1))).withColumn("fy", F.least(cut(F.col("y") * back), F.lit(height - 1)))
+    a = a.withColumn("fw", F.least(cut(F.col("w") * back), F.lit(width) - F.col("fx"))).withColumn("fh", F.least(cut(F.col("h") * back), F.lit(height) - F.col("fy")))
+    centre = lambda m, at, size: F.when(F.col("m00") > 0, cut(F.col(m) / F.col("m00") * back)).otherwise(F.col(at) + cut(F.col(size) / 2))
+    a = a.withColumn("cx", centre("m10", "fx", "fw")).withColumn("cy", centre("m01", "fy", "fh")).withColumn("full_area", cut(F.col("area") / (scale * scale)))
+    rank = F.row_number().over(Window.partitionBy("stream_id", "frame_index").orderBy(F.col("full_area").desc(), "region")).cast("int")
+    return a.select("stream_id", "frame_index", "region", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fw").alias("w"), F.col("fh").alias("h"), F.col("full_area").alias("area"), "cx", "cy", rank.alias("rank"))
+
+
+def motion_over(frames: DataFrame, regions: DataFrame, ratio: str, min_ratio: float) -> DataFrame:
+    """Adds regions (how many the frame has) and over: the moving share reaches min_ratio and there is a region."""
+    n = regions.groupBy("stream_id", "frame_index").agg(F.count(F.lit(1)).alias("regions"))
+    a = frames.join(n, ["stream_id", "frame_index"], "left").withColumn("regions", F.coalesce("regions", F.lit(0).cast("long")))
+    return a.withColumn("over", F.coalesce(F.col(ratio) >= min_ratio, F.lit(False)) & (F.col("regions") > 0))
+
+
 def motion_summary(frames: DataFrame) -> DataFrame:
     """Per stream: frames, motion frames, percentage, mean regions over motion frames."""
     moving = F.count_if("is_motion")

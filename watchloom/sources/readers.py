@@ -59,6 +59,21 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def centroid_files(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
+    """(name, embedding) of stored centroids: one array file each, named by the file's stem; matrices give their rows' mean."""
+
+    def one(content: bytes) -> Iterator[dict]:
+        import io
+
+        import numpy as np
+
+        x = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+        yield {"embedding": (x.mean(axis=0) if x.ndim > 1 else x).tolist()}
+
+    rows = decoded(binary_files(spark, path, glob), one, "embedding array<double>")
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("name"), "embedding")
+
+
 def pcm_samples(content: bytes) -> Iterator[dict]:
     """Samples of a mono 16-bit WAVE file, within -1 and 1."""
     import io
