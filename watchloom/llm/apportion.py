@@ -140,7 +140,7 @@ def mix_sources(
             "source_size",
             "target",
             (F.col("_passes") * F.col("size") + F.col("_inside")).cast("long").alias("taken"),
-            (F.col("_passes") + ((F.col("size") > 0) & (F.col("_inside") == F.col("size"))).cast("long")).alias("copies"),
+            F.when(F.col("size") > 0, F.col("_passes") + (F.col("_inside") == F.col("size")).cast("long")).otherwise(0).alias("copies"),
             *(["kept"] if keep else []),
         )
     )
