@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from watchloom.functions import vectors as V
+from watchloom.operators import blocks
 from watchloom.operators.folds import fold
 
 
@@ -28,16 +29,12 @@ def untagged(rows: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, registry: DataFrame, *, k: int = 1, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): each query's k most similar rows of its site by cosine of unit vectors; ties to the smaller id.
 
-    An equi-join on the site; each pair is scored as it is joined and the rank's limit is applied before the shuffle.
+    Pairs of blocks of a site are scored by matrix products; each block pair passes on a query's k best at most. Vectors that are null
+    or hold null or non-finite components take no part.
     """
-    q = queries.select(F.col("id").alias("query_id"), "site_id", F.col("embedding").alias("_q"))
-    a = q.join(registry.select("id", "site_id", "embedding"), "site_id")
-    if exclude_self:
-        a = a.where("id <> query_id")
-    a = a.select("query_id", "id", V.dot(F.col("_q"), F.col("embedding")).alias("score"))
+    a = blocks.best_in_blocks(queries, registry, k, threshold, exclude_self)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    a = a.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return a if threshold is None else a.where(F.col("score") >= threshold)
+    return a.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
 def approximate_nearest(queries: DataFrame, registry: DataFrame, *, threshold: float, bucket: float = 0.5, tables: int = 4) -> DataFrame:
@@ -116,10 +113,8 @@ def by_prefix(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def similar_pairs(centroids: DataFrame, threshold: float) -> DataFrame:
-    """(site_id, a, b, score) of centroids of one site with a cosine of at least threshold."""
-    x = centroids.select("site_id", F.col("id").alias("a"), F.col("embedding").alias("_x"))
-    y = centroids.select("site_id", F.col("id").alias("b"), F.col("embedding").alias("_y"))
-    return x.join(y, "site_id").where("a < b").select("site_id", "a", "b", V.dot(F.col("_x"), F.col("_y")).alias("score")).where(F.col("score") >= threshold)
+    """(site_id, a, b, score) of centroids of one site with a cosine of at least threshold, a before b; block by block."""
+    return blocks.pairs_in_blocks(centroids, threshold)
 
 
 # --- ordered folds: a site's rows in id order, batch by batch ----------------------------------------------
