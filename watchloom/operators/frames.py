@@ -52,8 +52,9 @@ def sample_stride(frames: DataFrame, stride: int, with_last: bool = True) -> Dat
     return frames.withColumn("_last", F.max("frame_index").over(whole())).where((F.col("frame_index") % stride == 0) | (F.col("frame_index") == F.col("_last"))).drop("_last")
 
 
-def prefix_sample(frames: DataFrame, n: int) -> DataFrame:
-    return frames.where(F.col("frame_index") < n)
+def prefix_sample(frames: DataFrame, n: int, skip: int = 0) -> DataFrame:
+    """The first n frames after skip; live sources skip 5, as their first frames may be broken."""
+    return frames.where((F.col("frame_index") >= skip) & (F.col("frame_index") < skip + n)) if skip else frames.where(F.col("frame_index") < n)
 
 
 def consecutive(predictions: DataFrame) -> DataFrame:

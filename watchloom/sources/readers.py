@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +66,6 @@ def centroid_files(spark: SparkSession, path: str, glob: str = "*.npy") -> DataF
     def one(content: bytes) -> Iterator[dict]:
         import io
 
-        import numpy as np
-
         x = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
         yield {"embedding": (x.mean(axis=0) if x.ndim > 1 else x).tolist()}
 
@@ -74,16 +73,44 @@ def centroid_files(spark: SparkSession, path: str, glob: str = "*.npy") -> DataF
     return rows.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("name"), "embedding")
 
 
-def pcm_samples(content: bytes) -> Iterator[dict]:
-    """Samples of a mono 16-bit WAVE file, within -1 and 1."""
+def wave_mono(content: bytes) -> tuple[np.ndarray, int]:
+    """Samples within -1 and 1, channels averaged, and their rate, of a WAVE file of 8 to 32 bits; none where the file can't be read."""
     import io
     import wave
 
-    import numpy as np
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+    except (wave.Error, EOFError):
+        return np.empty(0), 0
+    whole = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], np.uint8).reshape(-1, width)
+    if width == 1:
+        x = whole[:, 0].astype(float) - 128
+    else:
+        # the bytes go to the top of 32 bits, so that the sign comes along
+        wide = np.zeros((len(whole), 4), np.uint8)
+        wide[:, 4 - width :] = whole
+        x = wide.view("<i4")[:, 0] / 2.0 ** (32 - 8 * width)
+    return (x / 2.0 ** (8 * width - 1)).reshape(-1, channels).mean(axis=1), rate
+
+
+def pcm_samples(content: bytes) -> Iterator[dict]:
+    """Samples of a WAVE file at its own rate."""
+    for i, x in enumerate(wave_mono(content)[0]):
+        yield {"sample_index": i, "x": float(x)}
+
+
+def pcm_samples_at(rate: int = 22050) -> Callable[[bytes], Iterator[dict]]:
+    """A decoder to samples at the rate, linear between the file's own."""
+
+    def samples(content: bytes) -> Iterator[dict]:
+        x, own = wave_mono(content)
+        if len(x):
+            n = int(len(x) * rate / own)
+            for i, v in enumerate(np.interp(np.arange(n) * (own / rate), np.arange(len(x)), x)):
+                yield {"sample_index": i, "x": float(v)}
 
-    with wave.open(io.BytesIO(content)) as w:
-        for i, x in enumerate(np.frombuffer(w.readframes(w.getnframes()), dtype="<i2") / 32768.0):
-            yield {"sample_index": i, "x": float(x)}
+    return samples
 
 
 def tags_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -28,6 +28,21 @@ def write_sidecars(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
+def copy_clip(spark: SparkSession, source: str, target: str) -> bool:
+    """Copies a file through Spark's file systems; the target appears whole, and an old one is replaced. False if there is no source."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    part = b.suffix(".part")
+    from_fs, to_fs = a.getFileSystem(conf), b.getFileSystem(conf)
+    if not from_fs.exists(a):
+        return False
+    jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, part, False, True, conf)
+    to_fs.delete(b, False)
+    if not to_fs.rename(part, b):
+        raise OSError(f"can't rename {part.toString()}")
+    return True
+
+
 def chunk_folder(chunks_dir: str | None, output_dir: str | None, asset_path: str) -> str:
     """The first folder that is given."""
     return chunks_dir or output_dir or asset_path

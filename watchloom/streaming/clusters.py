@@ -8,17 +8,22 @@ a new one reaches back before its trigger.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import logging
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from watchloom.operators.folds import fold
 
+log = logging.getLogger(__name__)
+
 CHUNK = "stream_id bigint, chunk_index int, start_frame bigint, end_frame bigint, frame_count bigint, last_class int, last_confidence double"
 
 
@@ -174,3 +179,21 @@ def tumbling_chunks(frames: DataFrame, seconds: int, late: str = "10 seconds") -
     """Event-time chunks for streams with timestamps: counts and bounds per window; later rows than the watermark are dropped."""
     w = F.window("ts", f"{seconds} seconds")
     return frames.withWatermark("ts", late).groupBy("stream_id", w).agg(F.count(F.lit(1)).alias("frame_count"), F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
+
+
+def kept_alive(start: Callable[[], StreamingQuery], wait: float = 2.0, failures: int | None = None) -> int:
+    """Runs a stream until it ends, starting it anew from its checkpoint after each failure; how often it failed.
+
+    With failures given, one more than that many is raised.
+    """
+    failed = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return failed
+        except StreamingQueryException:
+            failed += 1
+            if failures is not None and failed > failures:
+                raise
+            log.exception("stream failed; starting anew in %s s", wait)
+            time.sleep(wait)
