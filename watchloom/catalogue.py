@@ -741,3 +741,74 @@ def fill_between(spark, d):
 @query(f"WITH {SITE}{TAGS} SELECT id FROM tags ANTI JOIN site USING (id) ORDER BY id LIMIT 20")
 def first_missing(spark, d):
     return R.missed_tags(site_rows(spark, d), _tags(spark, d)).select("id").orderBy("id").limit(20)
+
+
+# --- scalar, box and vector rules on rows ----------------------------------------------------------------
+
+
+@query(f"""WITH {BOXES}, b AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM boxes)
+ SELECT stream_id, det, round(w * h, 5) AS area, round(w / h, 6) AS aspect, round(greatest(0.0, x1 - w * 0.05), 5) AS px1, round(greatest(0.0, y1 - h * 0.05), 5) AS py1, round(least(100.0, x2 + w * 0.05), 5) AS px2, round(least(90.0, y2 + h * 0.05), 5) AS py2,
+ round(x1 - w / 2, 5) AS cx1, round(y1 + h / 2, 5) AS cy2, round((x1 - 3.5) / 0.4, 5) AS ux1, round((y2 - 7.0) / 0.4, 5) AS uy2 FROM b""")
+def box_geometry(spark, d):
+    b = boxes(spark, d)
+    box = T.box()
+    side = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    grown = G.padded(box, 0.05, F.lit(100.0), F.lit(90.0))
+    around = G.centre_to_corners(F.col("x1"), F.col("y1"), *side)
+    back = G.unletterbox(box, F.lit(0.4), F.lit(3.5), F.lit(7.0))
+    named = {"area": G.area(box), "px1": grown[0], "py1": grown[1], "px2": grown[2], "py2": grown[3], "cx1": around[0], "cy2": around[3], "ux1": back[0], "uy2": back[3]}
+    return b.select("stream_id", "det", F.round(side[0] / side[1], 6).alias("aspect"), *[F.round(v, 5).alias(k) for k, v in named.items()])
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding[1:6] AS DOUBLE[]) AS x FROM embeddings), e AS (SELECT *, list_transform(x, lambda y: exp(y - list_max(x))) AS e FROM v)
+ SELECT vec_id, pos - 1 AS pos, round(e[pos] / list_sum(e), 6) AS p, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS top FROM (SELECT *, unnest(range(1, 7)) AS pos FROM e)""")
+def class_shares(spark, d):
+    a = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 6).alias("x"))
+    shares = F.posexplode(V.softmax(F.col("x")))
+    return a.select("vec_id", V.argmax(F.col("x")).alias("top"), shares.alias("pos", "p")).select("vec_id", F.col("pos").cast("long").alias("pos"), r6("p"), "top")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(abs(x) * 40)) AS h FROM embeddings), p AS (SELECT vec_id, h, lag(h) OVER (PARTITION BY label ORDER BY vec_id) AS g FROM v),
+ m AS (SELECT vec_id, list_sum(h) AS sh, list_sum(g) AS sg, list_dot_product(h, g) AS hg, list_dot_product(h, h) AS hh, list_dot_product(g, g) AS gg FROM p WHERE g IS NOT NULL)
+ SELECT vec_id, round(CASE WHEN abs((hh - sh * sh / 64) * (gg - sg * sg / 64)) > 1e-12 THEN (hg - sh * sg / 64) / sqrt(abs((hh - sh * sh / 64) * (gg - sg * sg / 64))) ELSE 1.0 END, 6) AS correlation FROM m""")
+def histogram_correlation(spark, d):
+    a = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("double")).alias("h"))
+    a = a.withColumn("g", F.lag("h").over(Window.partitionBy("label").orderBy("vec_id"))).where("g is not null")
+    return a.select("vec_id", F.round(V.correlation(F.col("h"), F.col("g")), 6).alias("correlation"))
+
+
+@query(f"""WITH {SITE} SELECT id, CASE WHEN name <> '' THEN name || ' (' || CAST(id % 100 AS VARCHAR) || '%)' ELSE 'Unknown [' || substr(md5(CAST(id AS VARCHAR)), 1, 8) || ']' END AS label,
+ CASE WHEN length(name) = 0 THEN '' WHEN length(name) > 2 THEN substr(name, 1, 2) || '***' ELSE '***' END AS masked, CASE WHEN id % 3 = 0 THEN 'HIGH' ELSE CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END END AS alert,
+ CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN name ELSE notes END AS notes FROM site""")
+def text_labels(spark, d):
+    i = F.col("id")
+    uuid, level = F.md5(i.cast("string")), F.when(i % 2 == 0, "True").otherwise("False")
+    given = F.when(i % 4 == 0, "").when(i % 4 == 1, F.col("name"))
+    return site_rows(spark, d).select(
+        "id",
+        S.person_label(F.col("name"), uuid, (i % 100) / 100).alias("label"),
+        S.mask_secret(F.col("name")).alias("masked"),
+        S.alert_level(F.when(i % 3 == 0, "HIGH"), level).alias("alert"),
+        S.provided_or_kept(given, F.col("notes")).alias("notes"),
+    )
+
+
+@query(f"""WITH {FRAMES} SELECT stream_id, frame_index, 1700000000000 + CAST(trunc(frame_index / 12.5 * 1000) AS BIGINT) AS live_start, CAST(trunc(energy * 1.7) AS BIGINT) AS whole, round_even(energy, 0) AS even,
+ greatest(1, CAST(round_even(edge * 0.5, 0) AS BIGINT)) AS per_chunk, CAST(floor(greatest(1, floor((200 + frame_index) * 0.5)) * least(1.0, 110.0 / greatest(floor((200 + frame_index) * 0.5), floor((60 + edge) * 0.5)))) AS INTEGER) AS w FROM frames""")
+def number_rules(spark, d):
+    f = frames(spark, d)
+    size = S.inference_size(200 + F.col("frame_index"), 60 + F.col("edge"), 0.5, 110)
+    return f.select(
+        "stream_id",
+        "frame_index",
+        S.stream_chunk_start_ms(F.lit(1700000000000).cast("long"), F.col("frame_index"), F.lit(12.5)).alias("live_start"),
+        S.truncated(F.col("energy") * 1.7).alias("whole"),
+        S.round_half_even(F.col("energy")).alias("even"),
+        S.frames_per_chunk(F.col("edge"), F.lit(0.5)).alias("per_chunk"),
+        size["w"].alias("w"),
+    )
+
+
+@query(f"WITH {FRAMES} SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS published, count(*) FILTER (event_type <> 'click') AS failed FROM (SELECT f.*, e.event_type FROM frames f JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) e ON e.user_id = f.stream_id AND e.i = f.frame_index)")
+def publish_tally(spark, d):
+    return C.publish_tally(frames(spark, d).select((F.col("event_type") == "click").alias("published")))

@@ -32,7 +32,7 @@ def cosine(a: Column, b: Column, epsilon: float = 1e-9) -> Column:
 
 def softmax(x: Column) -> Column:
     top = F.array_max(x)
-    e = F.transform(F.arrays_zip(x.alias("v"), F.array_repeat(top, F.size(x)).alias("m")), lambda z: F.exp((z["v"] - z["m"]).cast("double")))
+    e = F.transform(F.arrays_zip(x.alias("v"), F.array_repeat(top, F.size(x)).alias("m")), lambda z: F.exp(z["v"].cast("double") - z["m"].cast("double")))
     total = _sum(e)
     return F.transform(F.arrays_zip(e.alias("v"), F.array_repeat(total, F.size(x)).alias("s")), lambda z: z["v"] / z["s"])
 
