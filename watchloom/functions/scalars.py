@@ -74,6 +74,33 @@ def stream_chunk_start_ms(base_ms: Column, start_frame: Column, fps: Column) ->
     return base_ms + truncated(start_frame / fps * 1000)
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """x as a sum of two numbers of 26 bits, so that products of such halves are exact."""
+    head = x * 134217729.0 - (x * 134217729.0 - x)
+    return head, x - head
+
+
+def _multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: what the product and the sum miss is added last."""
+    p, s = a * b, a * b + c
+    (a1, a2), (b1, b2) = _halves(a), _halves(b)
+    missed = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+    back = s - p
+    out = s + (((p - (s - back)) + (c - back)) + missed)
+    return F.when(F.isnan(out), s).otherwise(out)  # beyond what can be halved, and infinite
+
+
+def quantile_cont(values: Column, q: float) -> Column:
+    """The quantile of a few values, an array without nulls, bit by bit as DuckDB's quantile_cont: lo * (1 - d) + hi * d, the sum rounded once."""
+
+    def between(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(q)
+        lo, hi, d = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int")), at - F.floor(at)
+        return F.when(d == 0, lo).otherwise(_multiply_add(lo, 1 - d, hi * d))
+
+    return F.element_at(F.transform(F.array(F.array_sort(values)), between), 1)
+
+
 def noise_threshold(p90: Column) -> Column:
     """1.5 times the noise, at least 10; 25 where no noise was measured."""
     return F.when(p90.isNull(), 25).otherwise(F.greatest(F.lit(10), truncated(p90 * 1.5).cast("int")))
