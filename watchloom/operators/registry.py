@@ -37,15 +37,9 @@ def nearest(queries: DataFrame, registry: DataFrame, *, k: int = 1, threshold: f
     return a.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
-def approximate_nearest(queries: DataFrame, registry: DataFrame, *, threshold: float, bucket: float = 0.5, tables: int = 4) -> DataFrame:
-    """(query_id, id, distance): pairs within a Euclidean distance by locality-sensitive hashing; may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    side = lambda df: df.select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(side(registry))
-    got = model.approxSimilarityJoin(side(queries), side(registry), threshold, distCol="distance")
-    return got.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance").where("query_id <> id")
+def within_distance(queries: DataFrame, registry: DataFrame, *, threshold: float) -> DataFrame:
+    """(query_id, id, distance): all pairs nearer than a Euclidean distance, over all sites, but a row and itself; misses none."""
+    return blocks.near_in_blocks(queries, registry, threshold)
 
 
 def people(rows: DataFrame) -> DataFrame:
