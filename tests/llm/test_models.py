@@ -7,12 +7,14 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SF, WORD, _water
 from watchloom.llm import queries as Q
 from watchloom.llm.centroid_langid import fit_centroids
+from watchloom.llm.quality_llr import exact_quantile, fit_llr
 
 
 def _hash(*values):
@@ -53,6 +55,35 @@ def test_quality_scores_threshold_and_verdicts(spark):
             assert row["kept"] == (not row["base_failed"] and score[row["doc_id"]] > threshold)
 
 
+def _many_trusted(spark):
+    """5500 documents, labels that trust 5000 of them, and the weights and threshold that all of these give."""
+    n, texts = Q.QUALITY_FIT["n_buckets"], [(i, f"word{i % 7} of{i % 11} text{i % 5003} {'good' * (i % 5000 == 1)}") for i in range(5500)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i in range(6000)] + [(3, 1)], "doc_id long, quality int")
+    grams = []
+    for _, text in texts:
+        h = [_hash(w) for w in WORD.findall(text)]
+        grams.append([x & (n - 1) for x in h + [_hash(x, h[i + 1] if i + 1 < len(h) else None) for i, x in enumerate(h)]])
+    raw, target = Counter(x for g in grams for x in g), Counter(x for g in grams[:5000] for x in g)
+    t, r = sum(target.values()), sum(raw.values())
+    weight = [math.log((target[b] + 1) / (t + n)) - math.log((raw[b] + 1) / (r + n)) for b in range(n)]
+    return docs, labels, weight, np.quantile([sum(weight[b] for b in g) / len(g) for g in grams[:5000]], 0.005) - 0.01
+
+
+def test_quality_model_counts_every_trusted_row(spark):
+    docs, labels, weight, threshold = _many_trusted(spark)
+    model = fit_llr(docs, labels, **Q.QUALITY_FIT)
+    assert np.allclose(model.weights, weight, atol=1e-12) and abs(model.threshold - threshold) < 1e-5
+
+
+def test_quantile_narrows_to_the_exact_one(spark):
+    values = [1.5] * 300 + [float(np.nextafter(1.5, 2))] * 40 + [i * 0.37 - 90 for i in range(500)] + [1e9, -1e12]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for q in (0.0, 0.005, 0.25, 0.5, 0.77, 1.0):
+        assert exact_quantile(rows, "v", q, few=20, bins=8) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert exact_quantile(rows.where("v is null"), "v", 0.5) is None
+
+
 def test_language_is_the_nearest_centroids(spark):
     docs = spark.read.parquet(SF + "/documents.parquet")
     model = fit_centroids(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).select("doc_id", "text", "lang"))

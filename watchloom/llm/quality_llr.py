@@ -1,22 +1,24 @@
 """Quality rules by hashed n-gram log-likelihood ratio (DataFrame functions only).
 
 Every row gets counts about its words and lines, and a score: the mean over its hashed 1- and 2-grams of
-log p(bucket | trusted target) - log p(bucket | raw corpus). The raw multinomial is counted over all rows; the target
-multinomial over a bounded sample of rows labelled as trusted. A row is kept if its score reaches a fixed
-threshold, which the trusted sample's own scores set: nothing is drawn at random.
+log p(bucket | trusted target) - log p(bucket | raw corpus). The raw multinomial is counted over all rows, the target
+multinomial over all rows labelled as trusted. A row is kept if its score reaches a fixed threshold, which the
+scores of all trusted rows set: nothing is drawn.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.storage import cut
+from watchloom.llm.storage import cut, free
 from watchloom.llm.words import words
 
 SYMBOLS = "#*$%&|<>"
+BITMAP = 1 << 23  # bits, by hash, that tell which rows may be trusted
 
 
 @dataclass(frozen=True)
@@ -38,11 +40,52 @@ def _counts(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
     return docs.select(F.explode(grams).alias("g")).groupBy(F.col("g").bitwiseAND(n_buckets - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_id: str, trusted: Column, rows: int) -> DataFrame:
-    """At most ``rows`` ids of trusted labels, by the least seeded hash; the one bounded set that is broadcast."""
+def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_id: str, trusted: Column, text_col: str, limit: float = math.inf) -> DataFrame:
+    """The texts of all rows with a trusted label; a finite limit takes no more ids than that, by the least seeded hash.
+
+    A bitmap of the ids' hashes, of a fixed size, leaves out most other rows before texts are shuffled to meet the ids.
+    """
     ids = labels.where(trusted).select(F.col(label_id).alias("_trusted")).where("_trusted is not null").distinct()
-    ids = cut(ids.orderBy(F.xxhash64("_trusted", F.lit(7)), "_trusted").limit(rows))
-    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_trusted"), "left_semi")
+    if limit < math.inf:
+        ids = ids.orderBy(F.xxhash64("_trusted", F.lit(7)), "_trusted").limit(int(limit))
+    ids = cut(ids.select(F.col("_trusted").cast(docs.schema[id_col].dataType)))
+    bit = lambda c: F.xxhash64(c).bitwiseAND(BITMAP - 1)
+    words_ = dict(ids.groupBy(F.shiftright(bit("_trusted"), 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(_trusted) & 31 AS INT))")).alias("bits")).collect())
+    table = F.split(F.lit(",".join(str(words_.get(w, 0)) for w in range(BITMAP // 32))), ",").cast("array<bigint>")
+    mask = F.expr(f"shiftleft(1L, CAST(xxhash64(`{id_col}`) & 31 AS INT))")
+    may = docs.select(id_col, text_col).where(F.get(table, F.shiftright(bit(id_col), 5).cast("int")).bitwiseAND(mask) != 0)
+    return may.join(ids.hint("merge"), F.col(id_col) == F.col("_trusted"), "left_semi").select(text_col)
+
+
+def exact_quantile(rows: DataFrame, col: str, q: float, few: int = 20_000, bins: int = 4096) -> float | None:
+    """The quantile of finite numbers, between neighbours by their distance; None without any.
+
+    Counts in bins narrow the range until few rows, or ties only, are left in it, so that neither a task nor the driver holds the column.
+    """
+    x = F.col(col)
+    whole, least, most = rows.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not whole:
+        return None
+
+    def ranked(rank: int) -> float:
+        n, lo, hi = whole, least, most
+        while True:
+            here, step = rows.where((x >= lo) & (x <= hi)), (hi - lo) / bins
+            if n <= few or lo + step == lo or hi - step == hi:
+                bin_ = x
+            else:
+                bin_ = F.least(F.floor((x - lo) / step), F.lit(bins - 1))
+            for _, n, lo, hi in sorted(tuple(r) for r in here.groupBy(bin_.alias("b")).agg(F.count(x), F.min(x), F.max(x)).collect()):
+                if n > rank:
+                    break
+                rank -= n
+            if lo == hi:
+                return lo
+
+    at = (whole - 1) * q
+    below = ranked(math.floor(at))
+    above = below if at == math.floor(at) else ranked(math.floor(at) + 1)
+    return below + (above - below) * (at - math.floor(at))
 
 
 def fit_llr(
@@ -55,26 +98,26 @@ def fit_llr(
     trusted: str = "quality = 1",
     n_buckets: int = 8192,
     smoothing: float = 1.0,
-    sample_rows: int = 4000,
+    sample_rows: float = math.inf,
     keep_share: float = 0.995,
     margin: float = 0.01,
 ) -> LlrModel:
-    """n_buckets is a power of two. sample_rows bounds the trusted sample; what comes to the driver is n_buckets counts and one quantile.
+    """n_buckets is a power of two. All trusted rows count, unless a caller bounds them by sample_rows. The driver gets n_buckets counts and one quantile.
 
-    threshold: below the (1 - keep_share) quantile of the trusted sample's scores by margin. Without trusted rows, or on an
+    threshold: below the (1 - keep_share) quantile of the trusted rows' scores by margin. Without trusted rows, or on an
     empty table, the target equals the raw corpus, all weights are 0 and every row is kept.
     """
     raw = {r["bucket"]: r["n"] for r in _counts(docs, text_col, n_buckets).collect()}
-    sample = trusted_sample(docs, labels, id_col, label_id, F.expr(trusted), sample_rows)
-    target = {r["bucket"]: r["n"] for r in _counts(sample, text_col, n_buckets).collect()}
+    good = cut(trusted_rows(docs, labels, id_col, label_id, F.expr(trusted), text_col, sample_rows))
+    target = {r["bucket"]: r["n"] for r in _counts(good, text_col, n_buckets).collect()}
     if not target:
+        free(good)
         return LlrModel([0.0] * n_buckets, 0.0)
-    import math
-
     t, r, pad = sum(target.values()), sum(raw.values()), smoothing * n_buckets
     weights = [math.log((target.get(b, 0) + smoothing) / (t + pad)) - math.log((raw.get(b, 0) + smoothing) / (r + pad)) for b in range(n_buckets)]
-    scored = sample.select(_hashed(F.col(text_col), lambda h, p: _score(h, p, weights)).alias("score"))
-    low = scored.agg(F.percentile("score", F.lit(1 - keep_share))).first()[0]
+    scored = cut(good.select(_hashed(F.col(text_col), lambda h, p: _score(h, p, weights)).alias("score")))
+    low = exact_quantile(scored, "score", 1 - keep_share)
+    free(scored, good)
     return LlrModel(weights, (low if low is not None else 0.0) - margin)
 
 

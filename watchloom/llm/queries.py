@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Ru
 NEAR_DUPLICATES = {"width": 5, "percent": 85, "coordinates": 64, "matches": 40}
 #: The pipeline's stage links from similarity 0.80 on. Such a pair agrees in fewer than 36 of 64 coordinates with a probability of 4e-6 (binomial).
 STAGE_NEAR_DUPLICATES = NEAR_DUPLICATES | {"percent": 80, "matches": 36}
-QUALITY_FIT = {"trusted": "quality = 1", "n_buckets": 8192, "sample_rows": 4000}
+QUALITY_FIT = {"trusted": "quality = 1", "n_buckets": 8192, "sample_rows": math.inf}
 MIX = {"weights": [5.0, 2.0, 1.0], "max_repeats": 3, "budget_ratio": 1.0}
 #: A document's first line is its prompt and bears no loss.
 PACKING = {"capacity": 1024, "max_segments": 8, "max_loss": 1016, "prompt_lines": 1, "end_id": 0}
