@@ -136,3 +136,14 @@ def test_mix_takes_these_words_of_each_row(spark):
             more = max(0, min(again, at + size[i]) - at)
             assert (got[i]["size"], got[i]["taken"]) == (size[i], (wanted // whole if whole else 0) * size[i] + more)
             at += size[i]
+
+
+def test_pipeline_quality_stage_fits_on_every_trusted_row(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs, labels, weight, threshold = _many_trusted(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    fitted = []
+    monkeypatch.setattr(corpus_pipeline, "quality_verdicts", lambda d, model, **how: fitted.append(model) or d.withColumn("kept", F.lit(True)))
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS
+    assert np.allclose(fitted[0].weights, weight, atol=1e-12) and abs(fitted[0].threshold - threshold) < 1e-5
