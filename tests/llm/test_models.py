@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_operators import SF, WORD, _water
 from watchloom.llm import queries as Q
 from watchloom.llm.centroid_langid import fit_centroids
-from watchloom.llm.quality_llr import exact_quantile, fit_llr
+from watchloom.llm.quality_llr import exact_quantile, fit_llr, trusted_rows
 
 
 def _hash(*values):
@@ -76,6 +76,19 @@ def test_quality_model_counts_every_trusted_row(spark):
     assert np.allclose(model.weights, weight, atol=1e-12) and abs(model.threshold - threshold) < 1e-5
 
 
+def test_trusted_rows_are_those_of_the_labels_and_their_plan_is_short(spark):
+    key = {"long": lambda i: i, "string": lambda i: f"d{i}"}
+    for kind, k in key.items():
+        rows = [(k(i) if i % 9 else None, f"text {i}") for i in range(-3000, 3000)] + [(k(5), "again")]
+        labels = [(k(i), int(i % 3 == 0)) for i in range(-4000, 2000)] + [(None, 1), (k(4), 1), (k(4), 0), (k(6), None)]
+        docs, table = spark.createDataFrame(rows, f"doc_id {kind}, text string"), spark.createDataFrame(labels, f"doc_id {kind}, quality int")
+        good = {i for i, q in labels if q and i is not None}
+        for t in (table, table.where("false")):
+            got = trusted_rows(docs, t, "doc_id", "doc_id", F.expr("quality = 1"), "text")
+            assert sorted(r["text"] for r in got.collect()) == sorted(text for i, text in rows if i in good and t is table)
+        assert len(got._jdf.queryExecution().toString()) < 50_000  # the driver keeps the plans of all runs
+
+
 def test_quantile_narrows_to_the_exact_one(spark):
     values = [1.5] * 300 + [float(np.nextafter(1.5, 2))] * 40 + [i * 0.37 - 90 for i in range(500)] + [1e9, -1e12]
     rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")

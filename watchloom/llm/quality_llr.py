@@ -43,17 +43,17 @@ def _counts(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_id: str, trusted: Column, text_col: str, limit: float = math.inf) -> DataFrame:
     """The texts of all rows with a trusted label; a finite limit takes no more ids than that, by the least seeded hash.
 
-    A bitmap of the ids' hashes, of a fixed size, leaves out most other rows before texts are shuffled to meet the ids.
+    A bitmap of the ids' hashes, of a fixed size, leaves out most other rows before texts are shuffled to meet the ids. It is broadcast as
+    rows of 64 bits: as a literal it would be a few MB in each text of the plan, of which the driver keeps many.
     """
     ids = labels.where(trusted).select(F.col(label_id).alias("_trusted")).where("_trusted is not null").distinct()
     if limit < math.inf:
         ids = ids.orderBy(F.xxhash64("_trusted", F.lit(7)), "_trusted").limit(int(limit))
     ids = cut(ids.select(F.col("_trusted").cast(docs.schema[id_col].dataType)))
-    bit = lambda c: F.xxhash64(c).bitwiseAND(BITMAP - 1)
-    words_ = dict(ids.groupBy(F.shiftright(bit("_trusted"), 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(_trusted) & 31 AS INT))")).alias("bits")).collect())
-    table = F.split(F.lit(",".join(str(words_.get(w, 0)) for w in range(BITMAP // 32))), ",").cast("array<bigint>")
-    mask = F.expr(f"shiftleft(1L, CAST(xxhash64(`{id_col}`) & 31 AS INT))")
-    may = docs.select(id_col, text_col).where(F.get(table, F.shiftright(bit(id_col), 5).cast("int")).bitwiseAND(mask) != 0)
+    place = lambda c: F.shiftright(F.xxhash64(c).bitwiseAND(BITMAP - 1), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(63).cast("int"))
+    bitmap = ids.groupBy(place("_trusted").alias("_place")).agg(F.bit_or(bit("_trusted")).alias("_bits"))
+    may = docs.select(id_col, text_col).join(F.broadcast(bitmap), (place(id_col) == F.col("_place")) & (bit(id_col).bitwiseAND(F.col("_bits")) != 0), "left_semi")
     return may.join(ids.hint("merge"), F.col(id_col) == F.col("_trusted"), "left_semi").select(text_col)
 
 
